@@ -1,0 +1,191 @@
+"""Percentiles by exact bisection over mergeable states.
+
+A state row holds sorted distinct values of one group and period with their counts: at most RUN of them, so a group
+or day of any size is many rows. States of several days, partitions or tables join by union; nothing is lost.
+
+Doubles are ordered as 64-bit whole numbers (their bits, with the negative ones turned round). For each group and
+percentile an interval of such numbers is kept that holds the target rank. A pass counts the rows below WAYS - 1
+evenly spaced midpoints of each interval - in each state row by binary search, then summed per group - and narrows
+the interval to the part with the rank: log2(WAYS) bisections at once, at most ceil(64 / log2(WAYS)) passes. It ends
+when the interval is one number (exact), or 2^error_bits numbers wide: a double keeps its sign, exponent and upper
+52 - error_bits mantissa bits then, a relative error of at most 2^(error_bits - 52).
+
+Groups of up to LOCAL values are bisected in one task that has all their state rows; larger ones in passes over the
+whole cluster, with the intervals as a table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import cut
+
+RUN = 4096
+LOCAL = 65_536
+WAYS = 1024
+STATE = "grp string, period int, keys array<bigint>, counts array<bigint>, n bigint"
+
+
+def to_keys(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; both zeros give the same."""
+    bits = (np.asarray(v, np.float64) + 0.0).view(np.int64)
+    return bits ^ ((bits >> np.int64(63)) & np.int64(2**63 - 1))
+
+
+def to_values(k: np.ndarray) -> np.ndarray:
+    k = np.asarray(k, np.int64)
+    return (k ^ ((k >> np.int64(63)) & np.int64(2**63 - 1))).view(np.float64)
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by group, period and value to state rows; what the last batch left open is carried on."""
+    carry = None
+    for pdf in batches:
+        pdf = pd.concat([carry, pdf], ignore_index=True) if carry is not None else pdf
+        if not len(pdf):
+            continue
+        grp, period = pdf["grp"].to_numpy(), pdf["period"].to_numpy()
+        new = np.r_[True, (grp[1:] != grp[:-1]) | (period[1:] != period[:-1])]
+        starts = np.flatnonzero(new)
+        cuts = np.unique(np.concatenate([np.arange(a, b, RUN) for a, b in zip(starts, np.r_[starts[1:], len(pdf)])]))
+        keep = cuts[-1]
+        carry = pdf.iloc[keep:]
+        if keep:
+            yield _rows(pdf.iloc[:keep], cuts[:-1])
+    if carry is not None and len(carry):
+        yield _rows(carry.reset_index(drop=True), np.array([0]))
+
+
+def _rows(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+    keys, counts = to_keys(pdf["value"].to_numpy()), pdf["n"].to_numpy()
+    return pd.DataFrame({"grp": pdf["grp"].to_numpy()[cuts], "period": pdf["period"].to_numpy()[cuts], "keys": np.split(keys, cuts[1:]), "counts": np.split(counts, cuts[1:]), "n": np.add.reduceat(counts, cuts)})
+
+
+def state(rows: DataFrame) -> DataFrame:
+    """State of rows (grp, period, value, n): n times the value. Equal values of a group and period are summed before
+    they are moved. Rows with a null group or a null or NaN value don't count; infinities do. A null period counts
+    as period -1."""
+    v = F.col("value").cast("double")
+    live = rows.where(F.col("grp").isNotNull() & v.isNotNull() & ~F.isnan(v))
+    counted = live.groupBy("grp", F.coalesce(F.col("period").cast("int"), F.lit(-1)).alias("period"), (v + F.lit(0.0)).alias("value")).agg(F.sum("n").cast("bigint").alias("n"))
+    placed = counted.repartition("grp", "period").sortWithinPartitions("grp", "period", "value")
+    return placed.mapInPandas(_pack, STATE)
+
+
+def _narrow(lo: list[int], hi: list[int], rank: list[int], below: list[np.ndarray], edges: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
+    """below[p][j]: rows of interval p under edge j. The part with the rank is the new interval."""
+    out = ([], [], [])
+    for p in range(len(lo)):
+        j = int(np.searchsorted(below[p], rank[p], "left")) - 1  # the last edge with fewer rows below than the rank
+        out[0].append(int(edges[p][j]))
+        out[1].append(int(edges[p][j + 1]) - 1 if j + 1 < len(edges[p]) else hi[p])
+        out[2].append(rank[p] - int(below[p][j]))
+    return out
+
+
+def _edges(lo: int, hi: int) -> np.ndarray:
+    """Lower ends of up to WAYS parts of lo to hi, in whole-number arithmetic without overflow."""
+    width = hi - lo + 1
+    ways = min(WAYS, width)
+    return np.array([lo + width * j // ways for j in range(ways)], np.int64)
+
+
+def ranks(n: int, permille: list[int]) -> list[int]:
+    """The smallest rank that at least the share reaches, from 1."""
+    return [max(1, -(-n * p // 1000)) for p in permille]
+
+
+def _bisect(keys: np.ndarray, counts: np.ndarray, permille: list[int], error_bits: int) -> tuple[list[int], list[int]]:
+    """One group at hand as a whole: the same passes, on its sorted keys."""
+    order = np.argsort(keys, kind="stable")
+    keys, total = keys[order], np.r_[0, np.cumsum(counts[order])]
+    k = len(permille)
+    lo, hi, rank = [int(keys[0])] * k, [int(keys[-1])] * k, ranks(int(total[-1]), permille)
+    while any(h - a >= 2**error_bits for a, h in zip(lo, hi)):
+        edges = [_edges(a, h) if h - a >= 2**error_bits else np.array([a], np.int64) for a, h in zip(lo, hi)]
+        below = [total[np.searchsorted(keys, e, "left")] - total[np.searchsorted(keys, e[0], "left")] for e in edges]
+        lo, hi, rank = _narrow(lo, hi, rank, below, edges)
+    return lo, hi
+
+
+def _found(grps, ns, permille, los, his) -> pd.DataFrame:
+    k = len(permille)
+    lo, hi = np.concatenate(los) if los else [], np.concatenate(his) if his else []
+    return pd.DataFrame({"grp": np.repeat(np.asarray(grps, object), k), "n": np.repeat(np.asarray(ns, np.int64), k), "permille": np.tile(np.asarray(permille, np.int32), len(ns)), "value": to_values(np.asarray(lo, np.int64)), "upper": to_values(np.asarray(hi, np.int64))})
+
+
+RESULT = "grp string, n bigint, permille int, value double, upper double"
+INTERVALS = "grp string, n bigint, lo array<bigint>, hi array<bigint>, rank array<bigint>"
+
+
+def percentiles(states: DataFrame, permille: list[int], error_bits: int = 0) -> DataFrame:
+    """(grp, n, permille, value, upper) from the union of any states: the value of rank ceil(n * permille / 1000), at
+    least 1, among a group's n rows in ascending order lies between value and upper, which are equal if error_bits is
+    0. Ties don't matter. A group without rows has no result."""
+    kept = cut(states, "state")
+    sizes = kept.groupBy("grp").agg(F.sum(F.size("keys")).alias("values"), F.sum("n").alias("n"), F.min(F.element_at("keys", 1)).alias("lo"), F.max(F.element_at("keys", -1)).alias("hi"))
+    marked = kept.join(sizes, "grp")
+    small = marked.where(F.col("values") <= LOCAL).groupBy("grp").agg(F.flatten(F.collect_list("keys")).alias("keys"), F.flatten(F.collect_list("counts")).alias("counts"))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = [_bisect(np.asarray(k), np.asarray(c), permille, error_bits) for k, c in zip(pdf["keys"], pdf["counts"])]
+            yield _found(pdf["grp"], [int(np.sum(c)) for c in pdf["counts"]], permille, [d[0] for d in done], [d[1] for d in done])
+
+    result = small.mapInPandas(whole, RESULT)
+    big = sizes.where(F.col("values") > LOCAL)
+    first = F.array(*(F.greatest(F.lit(1), F.ceil(F.col("n") * p / F.lit(1000).cast("decimal(4,0)"))).cast("bigint") for p in permille))
+    k = len(permille)
+    at = cut(big.select("grp", "n", F.array_repeat("lo", k).alias("lo"), F.array_repeat("hi", k).alias("hi"), first.alias("rank")), "intervals")
+    if at.isEmpty():
+        return result
+    rows = cut(marked.where(F.col("values") > LOCAL).select("grp", "keys", "counts"), "large")
+    done: list[DataFrame] = []
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows per part of each interval, summed over the batch's rows of a group."""
+        for pdf in batches:
+            out: dict = {}
+            for g, keys, counts, lo, hi in zip(pdf["grp"], pdf["keys"], pdf["counts"], pdf["lo"], pdf["hi"]):
+                total = np.r_[0, np.cumsum(counts)]
+                for p, (a, h) in enumerate(zip(lo, hi)):
+                    e = _edges(int(a), int(h))
+                    bins = np.diff(total[np.r_[np.searchsorted(keys, e, "left"), np.searchsorted(keys, h, "right")]])
+                    out[g, p] = out[g, p] + bins if (g, p) in out else bins
+            if out:
+                used = {gp: np.flatnonzero(b) for gp, b in out.items()}
+                sizes_ = [len(u) for u in used.values()]
+                yield pd.DataFrame({"grp": np.repeat(np.array([g for g, _ in used], object), sizes_), "p": np.repeat(np.array([p for _, p in used], np.int32), sizes_), "bin": np.concatenate(list(used.values())).astype(np.int32), "n": np.concatenate([out[gp][u] for gp, u in used.items()])})
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for bins, lo, hi, rank in zip(pdf["bins"], pdf["lo"], pdf["hi"], pdf["rank"]):
+                edges = [_edges(int(a), int(h)) for a, h in zip(lo, hi)]
+                per = [np.zeros(len(e), np.int64) for e in edges]
+                for b in bins:
+                    per[b["p"]][b["bin"]] += b["n"]
+                below = [np.r_[0, np.cumsum(x)[:-1]] for x in per]
+                got.append(_narrow([int(x) for x in lo], [int(x) for x in hi], [int(x) for x in rank], below, edges))
+            yield pd.DataFrame({"grp": pdf["grp"], "n": pdf["n"], "lo": [g[0] for g in got], "hi": [g[1] for g in got], "rank": [g[2] for g in got]})
+
+    wide = F.exists(F.zip_with("lo", "hi", lambda a, h: F.struct(a.alias("a"), h.alias("h"))), lambda x: (x["h"].cast("decimal(20,0)") - x["a"].cast("decimal(20,0)")) >= 2**error_bits)
+    while True:
+        done.append(at.where(~wide))
+        at = at.where(wide)
+        if at.isEmpty():
+            break
+        parts = rows.join(at.select("grp", "lo", "hi"), "grp").mapInPandas(count, "grp string, p int, bin int, n bigint").groupBy("grp", "p", "bin").agg(F.sum("n").alias("n"))
+        at = cut(parts.groupBy("grp").agg(F.collect_list(F.struct("p", "bin", "n")).alias("bins")).join(at, "grp").mapInPandas(narrow, INTERVALS), "intervals")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _found(pdf["grp"], pdf["n"], permille, [np.asarray(x) for x in pdf["lo"]], [np.asarray(x) for x in pdf["hi"]])
+
+    for d in done:
+        result = result.unionByName(d.mapInPandas(read, RESULT))
+    return result

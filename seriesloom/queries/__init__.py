@@ -1,8 +1,8 @@
 """The registered queries and their SQL, by subject."""
 
-from . import engine
+from . import engine, series
 
-MODULES = [engine]
+MODULES = [engine, series]
 
 
 def queries() -> dict:
