@@ -9,7 +9,8 @@ from ..operators.intervals import periods_and_gaps
 from ..operators.orphans import json_elements, orphans
 from ..operators.percentiles import percentiles, state
 from ..operators.rolling import DAY_MS, RollingState, rolling_totals
-from ..sources.store import named, readings
+from ..operators.spikes import implausible
+from ..sources.store import named, plausible, readings
 
 PERMILLE = [10, 50, 250, 500, 750, 950, 990]
 
@@ -18,6 +19,23 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+# Problem 2
+
+#: The metric that only grows and the one that holds its values by nature.
+COUNTERS, HELD = ["request_count"], ["fan_setpoint"]
+
+
+def p2_implausible(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible rows with their kind: range, spike or run."""
+    rows = named(plausible(read(spark, d, "samples")), ["stream_id", "seq", "ts", "value"])
+    known = rows.join(read(spark, d, "metric_catalog").select(F.col("name").alias("metric"), "step_ms", F.col("lo_limit").alias("lo"), F.col("hi_limit").alias("hi")), "metric")
+    return implausible(known.select(F.col("stream_id").alias("entity"), "seq", "ts", "value", "step_ms", "lo", "hi", F.col("metric").isin(COUNTERS).alias("counter"), F.col("metric").isin(HELD).alias("held")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_implausible(spark, d).select("seq").distinct()
+
+
 # Problem 3
 
 
@@ -112,7 +130,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_periods, p4_percentiles, p4_merged, p5_rolling, p5_versions, p6_found, p6_report)}
+    return {f.__name__: f for f in (p2_found, p2_implausible, p3_found, p3_periods, p4_percentiles, p4_merged, p5_rolling, p5_versions, p6_found, p6_report)}
 
 
 def cid(c: str) -> str:
