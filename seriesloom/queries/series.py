@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import canonical_file, canonical_id
+from ..operators.grid import regular
 from ..operators.intervals import periods_and_gaps
 from ..operators.orphans import json_elements, orphans
 from ..operators.percentiles import percentiles, state
@@ -19,6 +20,22 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+# Problem 1
+
+
+def p1_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every stream on its metric's grid: smoothed value, its standard deviation, readings in the slot."""
+    rows = named(readings(spark, d), ["stream_id", "ts", "value"])
+    known = rows.join(read(spark, d, "metric_catalog").select(F.col("name").alias("metric"), "step_ms", "lo_limit", "hi_limit"), "metric")
+    v = F.col("value")
+    usable = F.coalesce(v >= F.col("lo_limit"), F.lit(True)) & F.coalesce(v <= F.col("hi_limit"), F.lit(True))
+    return regular(known.select(F.col("stream_id").alias("entity"), "ts", "value", "step_ms", usable.alias("usable")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_grid(spark, d).where("missing").select(F.col("entity").alias("stream_id"), "slot_ts")
+
+
 # Problem 2
 
 #: The metric that only grows and the one that holds its values by nature.
@@ -130,7 +147,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_implausible, p3_found, p3_periods, p4_percentiles, p4_merged, p5_rolling, p5_versions, p6_found, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_implausible, p3_found, p3_periods, p4_percentiles, p4_merged, p5_rolling, p5_versions, p6_found, p6_report)}
 
 
 def cid(c: str) -> str:
@@ -163,7 +180,9 @@ SELECT stream_id, DATE '1970-01-01' + CAST(day AS INTEGER) AS day, {per} FROM g"
 refs AS (SELECT 'id_to_file' AS ref_table, 'id' AS ref_field, {cid('id')} AS k, registered_at AS tm FROM id_to_file UNION ALL SELECT 'id_to_file', 'filename', {cfile('filename')}, registered_at FROM id_to_file UNION ALL SELECT 'stream_to_ids', 'ids', {cid('e')}, recorded_at FROM e),
 parents AS (SELECT 'f' AS kind, {cfile('filename')} AS k, written_at AS made, removed_at AS gone FROM file_header UNION ALL SELECT 's', {cid('stream_id')}, created_at, deleted_at FROM streams),
 j AS (SELECT ref_table, ref_field, r.k AS ref_value, strftime(tm, '%Y-%m') AS period, CASE WHEN p.k IS NULL THEN 1 WHEN gone <= tm THEN 2 WHEN made > tm + INTERVAL 1 HOUR THEN 3 END AS why FROM refs r LEFT JOIN parents p ON r.k = p.k AND (ref_field = 'filename') = (kind = 'f') WHERE r.k IS NOT NULL)"""
+    known = "k AS (SELECT s.*, step_ms, lo_limit, hi_limit, metric FROM samples s JOIN n USING (stream_id) JOIN metric_catalog c ON c.name = n.metric WHERE ts >= 1514764800000 AND ts < 1798761600000 AND value IS NOT NULL)"
     return {
+        "p1_found": f"WITH {names}, {known}, s AS (SELECT DISTINCT stream_id, step_ms, ts // step_ms AS slot FROM k WHERE NOT isnan(value) AND NOT isinf(value)), g AS (SELECT stream_id, any_value(step_ms) AS step_ms, unnest(range(min(slot), max(slot) + 1)) AS slot FROM s GROUP BY stream_id) SELECT stream_id, slot * step_ms AS slot_ts FROM g ANTI JOIN s USING (stream_id, slot)",
         "p3_found": f"WITH {covered} SELECT id, before + 1 AS gap_start, s - 1 AS gap_end FROM m WHERE before IS NOT NULL AND before < 9223372036854775807 AND s > before + 1",
         "p3_periods": f"WITH {covered}, i AS (SELECT *, sum(CASE WHEN before IS NULL OR (before < 9223372036854775807 AND s > before + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT id, min(s) AS period_start, nullif(max(e), 9223372036854775807) AS period_end FROM i GROUP BY id, island",
         "p4_percentiles": f"WITH {rows}, {names}, x AS (SELECT 'stream:' || stream_id AS grp, value FROM r UNION ALL {by_metric}), {pct}",
