@@ -99,17 +99,19 @@ def ranks(n: int, permille: list[int]) -> list[int]:
     return [max(1, -(-n * p // 1000)) for p in permille]
 
 
-def _bisect(keys: np.ndarray, counts: np.ndarray, permille: list[int], error_bits: int) -> tuple[list[int], list[int]]:
-    """One group at hand as a whole: the same passes, on its sorted keys."""
+def _bisect(keys: np.ndarray, counts: np.ndarray, permille: list[int], error_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """One group at hand as a whole: all its percentiles halve their intervals together."""
     order = np.argsort(keys, kind="stable")
     keys, total = keys[order], np.r_[0, np.cumsum(counts[order])]
-    k = len(permille)
-    lo, hi, rank = [int(keys[0])] * k, [int(keys[-1])] * k, ranks(int(total[-1]), permille)
-    while any(h - a >= 2**error_bits for a, h in zip(lo, hi)):
-        edges = [_edges(a, h) if h - a >= 2**error_bits else np.array([a], np.int64) for a, h in zip(lo, hi)]
-        below = [total[np.searchsorted(keys, e, "left")] - total[np.searchsorted(keys, e[0], "left")] for e in edges]
-        lo, hi, rank = _narrow(lo, hi, rank, below, edges)
-    return lo, hi
+    rank = np.array(ranks(int(total[-1]), permille))
+    lo, hi = np.full(len(rank), keys[0]), np.full(len(rank), keys[-1])
+    while True:
+        wide = hi.view(np.uint64) - lo.view(np.uint64) >= np.uint64(2**error_bits)
+        if not wide.any():
+            return lo, hi
+        mid = (lo & hi) + ((lo ^ hi) >> 1)  # the mean, without overflow
+        reached = total[np.searchsorted(keys, mid, "right")] >= rank
+        lo, hi = np.where(wide & ~reached, mid + 1, lo), np.where(wide & reached, mid, hi)
 
 
 def _found(grps, ns, permille, los, his) -> pd.DataFrame:

@@ -76,16 +76,12 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
 # Problem 4
 
 
-def counted(spark: SparkSession, d: str) -> DataFrame:
-    """Equal values of a stream and day, with the stream's metric."""
+def groups(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("stream", "metric")) -> DataFrame:
+    """Each reading under its stream and its metric, by day."""
     rows = named(readings(spark, d), ["stream_id", "ts", "value"])
-    return rows.groupBy("metric", "stream_id", F.floor(F.col("ts") / F.lit(DAY_MS)).cast("int").alias("period"), "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def groups(rows: DataFrame) -> DataFrame:
-    """Each row under its stream and under its metric."""
-    kinds = F.explode(F.array(F.concat(F.lit("stream:"), "stream_id"), F.concat(F.lit("metric:"), "metric")))
-    return rows.select(kinds.alias("grp"), "period", "value", "n")
+    key = {"stream": "stream_id", "metric": "metric"}
+    each = F.explode(F.array(*(F.concat(F.lit(f"{k}:"), key[k]) for k in kinds)))
+    return rows.select(each.alias("grp"), F.floor(F.col("ts") / F.lit(DAY_MS)).cast("int").alias("period"), "value", F.lit(1).alias("n"))
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -94,12 +90,12 @@ def shown(df: DataFrame) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of each stream and each metric."""
-    return shown(percentiles(state(groups(counted(spark, d))), PERMILLE))
+    return shown(percentiles(state(groups(spark, d)), PERMILLE))
 
 
 def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     """The same per metric from two states that were built apart: days with even and with odd numbers."""
-    rows = groups(counted(spark, d)).where(F.col("grp").startswith("metric:"))
+    rows = groups(spark, d, ("metric",))
     even = F.pmod("period", F.lit(2)) == 0
     return shown(percentiles(state(rows.where(even)).unionByName(state(rows.where(~even))), PERMILLE))
 
