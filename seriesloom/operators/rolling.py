@@ -63,7 +63,7 @@ class RollingState:
         rows = rows.where(F.col("entity").isNotNull() & F.col("ts").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))).distinct()
         if self.version:
             rows = rows.join(self.seen, ["entity", "ts", "value"], "left_anti")
-        new = daily(rows)
+        new = cut(daily(rows), "daily")
         if not self.version:
             return RollingState(1, self.windows, rows, new, self._roll(new, None))
         both = self.daily.unionByName(new).groupBy("entity", "day").agg(F.sum("amount").cast(EXACT).alias("amount"), F.sum("huge").alias("huge"), F.sum("n").alias("n"))
