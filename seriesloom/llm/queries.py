@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import corrections, labelled, language_segments, languages_found, train
 from .leaks import leaks
 
 
@@ -15,8 +16,29 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
 
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return labelled(read(spark, d, "documents"), read(spark, d, "lang_names"))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    rows = docs(spark, d)
+    return language_segments(rows, train(rows)).drop("enough")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document of enough letters: share and confidence per language."""
+    rows = docs(spark, d)
+    return languages_found(language_segments(rows, train(rows)))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d)
+    return corrections(language_segments(rows, train(rows))).select("doc_id", "lang_found")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found,)}
+    return {f.__name__: f for f in (p7_found, p9_found, p9_segments, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
