@@ -14,6 +14,9 @@ import re
 import numpy as np
 
 CLASSES, BITS, ORDER = 128, 7, 5
+#: N-grams of up to this order are counted over all languages together: what no model knows costs all of them the same,
+#: so that unusual text doesn't fall to the language with the poorest model.
+POOLED = 3
 #: An odd number, so that multiplying by it gives each code another hash.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PIECE = 400_000
@@ -120,6 +123,7 @@ class Model:
         c = np.zeros((CLASSES, k))
         for i, (g, m) in enumerate(counts[1]):
             c[g.astype(int), i] = m
+        c[:] = c.sum(1, keepdims=True)
         p = (c + 0.5) / (c + 0.5).sum(0)
         self.unigram = np.log(p).astype(np.float32)
         for n in range(2, ORDER + 1):
@@ -128,6 +132,8 @@ class Model:
             c = np.zeros((len(seen), k))
             for i, (g, m) in enumerate(counts[n]):
                 c[np.searchsorted(seen, g), i] = m
+            if n <= POOLED:
+                c[:] = c.sum(1, keepdims=True)
             contexts, of = np.unique(seen >> np.uint64(BITS), return_inverse=True)
             first = np.searchsorted(of, np.arange(len(contexts)))
             total, kinds = np.add.reduceat(c, first, 0), np.add.reduceat((c > 0).astype(float), first, 0)
