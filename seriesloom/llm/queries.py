@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import corrections, labelled, language_segments, languages_found, train
 from .leaks import leaks
+from .mix import mix, reached, token_counts
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -16,6 +17,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn documents with their tokens and repeats."""
+    return mix(token_counts(read(spark, d, "documents")), read(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    targets = read(spark, d, "mix_targets")
+    return reached(mix(token_counts(read(spark, d, "documents")), targets), targets)
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return labelled(read(spark, d, "documents"), read(spark, d, "lang_names"))
 
@@ -38,7 +50,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found, p9_found, p9_segments, p9_languages)}
+    return {f.__name__: f for f in (p7_found, p8_mix, p8_shares, p9_found, p9_segments, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
