@@ -98,8 +98,8 @@ def low_rank(u: np.ndarray, tile: np.ndarray, row: np.ndarray, col: np.ndarray,
             clean = np.where(np.abs(rest - low) >= CANDIDATE, low, rest)
             val, vec = np.linalg.eigh(clean @ clean.transpose(0, 2, 1))
             sigma = np.sqrt(np.maximum(val, 0))
-            shrink = np.maximum(0, 1 - noise[:, None] / np.maximum(sigma, 1e-12))
-            low = (vec * shrink[:, None, :]) @ (vec.transpose(0, 2, 1) @ clean)
+            kept = (sigma > noise[:, None]).astype(float)
+            low = (vec * kept[:, None, :]) @ (vec.transpose(0, 2, 1) @ clean)
         out[idx] = low[lane, row[idx], col[idx]]
     return out
 
