@@ -5,8 +5,8 @@ readings' deviations from their running median in units of the source's spread.
 matrix into a low-rank part, the normal daily behaviour, and a sparse part. What falls into the sparse part is a
 candidate; an exact check then compares it with the levels of the unaffected readings on both sides.
 
-A source's days are cut into tiles of bounded size: DAYS x COLUMNS slots, with a margin of HALO slots on either side
-so that levels, bursts and runs are seen whole. So no task gets a whole source, however long. The source's spread is
+A source's days are cut into tiles of bounded size, some days times some slots of the day, with a margin of HALO slots
+on either side so that levels, bursts and runs are seen whole. So no task gets a whole source, however long. The source's spread is
 put together from its tiles'.
 """
 
@@ -34,25 +34,38 @@ SIDE, HALF = 5, 10
 #: Cells of the matrices that are worked on at a time.
 CELLS = 1_000_000
 
-FLAGS = "entity string, seq bigint, kind string, dev double, spread double, n bigint"
+FLAGS = "entity string, seq bigint, ts bigint, value double, kind string, dev double, spread double, n bigint"
+#: A source whose fullest tile has more readings gets shorter slots.
+CROWDED = 65_536
 
 
-def tiles(rows: DataFrame) -> DataFrame:
-    """rows (entity, seq, ts, value, ok, step_ms, counter) to one row per tile, with the readings in arrays."""
+def _laid(rows: DataFrame) -> DataFrame:
+    """rows with the size of their tiles, and `home`, the tile that each is in."""
     per_day = F.greatest(F.lit(1), F.round(F.lit(DAY_MS) / F.col("step_ms")).cast("bigint"))
     wide = F.col("per_day") > WIDE
     blocks = F.when(wide, F.ceil(F.col("per_day") / F.lit(COLUMNS))).otherwise(F.lit(1)).cast("bigint")
     days = F.when(wide, F.lit(LONG_DAYS)).otherwise(F.greatest(F.lit(7), F.floor(F.lit(SLOTS) / F.col("per_day")))).cast("bigint")
-    laid = rows.withColumn("per_day", per_day).withColumn("blocks", blocks).withColumn("days", days).withColumn("width", F.ceil(F.col("per_day") / F.col("blocks")).cast("bigint")).withColumn("slot", F.floor(F.col("ts") / F.col("step_ms")))
+    sized = rows.withColumn("per_day", per_day).withColumn("blocks", blocks).withColumn("days", days)
+    placed = sized.withColumn("width", F.ceil(F.col("per_day") / F.col("blocks")).cast("bigint")).withColumn("slot", F.floor(F.col("ts") / F.col("step_ms")))
+    return placed.withColumn("home", _tile(F.col("slot")))
+
 
-    def tile(slot: Column) -> Column:
-        day = F.floor(slot / F.col("per_day"))
-        return F.struct(F.floor(day / F.col("days")).alias("db"), F.floor((slot - day * F.col("per_day")) / F.col("width")).alias("cb"))
+def _tile(slot: Column) -> Column:
+    day = F.floor(slot / F.col("per_day"))
+    return F.struct(F.floor(day / F.col("days")).alias("db"), F.floor((slot - day * F.col("per_day")) / F.col("width")).alias("cb"))
 
-    placed = laid.withColumn("home", tile(F.col("slot"))).withColumn("t", F.explode(F.array_distinct(F.array(F.col("home"), tile(F.col("slot") - HALO), tile(F.col("slot") + HALO)))))
-    reading = F.struct("ts", "seq", "value", "ok", (F.col("t") == F.col("home")).alias("home"))
+
+def tiles(rows: DataFrame) -> DataFrame:
+    """rows (entity, seq, ts, value, ok, copies, step_ms, counter) to one row per tile, with the readings in arrays.
+    Crowded sources, with far more readings than slots, are laid out with slots so much shorter that their fullest
+    tile is of the usual size."""
+    fullest = _laid(rows).groupBy("entity", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.max("n").alias("n"))
+    crowded = fullest.where(F.col("n") > CROWDED).select("entity", F.ceil(F.col("n") / F.lit(CROWDED // 4)).alias("part"))
+    finer = rows.join(crowded, "entity", "left").withColumn("step_ms", F.greatest(F.lit(1), F.floor(F.col("step_ms") / F.coalesce("part", F.lit(1))))).drop("part")
+    placed = _laid(finer).withColumn("t", F.explode(F.array_distinct(F.array(F.col("home"), _tile(F.col("slot") - HALO), _tile(F.col("slot") + HALO)))))
+    reading = F.struct("ts", "seq", "value", "ok", "copies", (F.col("t") == F.col("home")).alias("home"))
     return placed.groupBy("entity", "step_ms", "counter", "per_day", "blocks", "width", "t").agg(F.collect_list(reading).alias("r")).select(
-        "entity", "step_ms", "counter", "per_day", "blocks", "width", *(F.col(f"r.{c}").alias(c) for c in ("ts", "seq", "value", "ok", "home"))
+        "entity", "step_ms", "counter", "per_day", "blocks", "width", *(F.col(f"r.{c}").alias(c) for c in ("ts", "seq", "value", "ok", "copies", "home"))
     )
 
 
@@ -120,10 +133,10 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     n_tiles = len(pdf)
     sizes = np.array([len(x) for x in pdf["ts"]])
     tile = np.repeat(np.arange(n_tiles), sizes)
-    flat = {c: np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("ts", "seq", "value", "ok", "home")}
+    flat = {c: np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("ts", "seq", "value", "ok", "copies", "home")}
     order = np.lexsort((flat["seq"], flat["ts"], tile))
     tile = tile[order]
-    ts, seq, value, ok, home = (flat[c][order] for c in ("ts", "seq", "value", "ok", "home"))
+    ts, seq, value, ok, copies, home = (flat[c][order] for c in ("ts", "seq", "value", "ok", "copies", "home"))
     value, ok, home = value.astype(float), ok.astype(bool), home.astype(bool)
     counter = pdf["counter"].to_numpy(bool)
 
@@ -211,22 +224,19 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
 
     spike_dev = np.zeros(len(pv))
     spike_dev[good[strong]] = dev[strong]
-    out = []
-    mine = home & (spike_dev[point] > 0) & ok
     # A repeat with another value is a case only if it is off as well.
-    near = np.abs(value - pv[point]) <= 0.5 * spike_dev[point]
-    mine &= near
+    with np.errstate(invalid="ignore"):
+        apart = np.abs(value - pv[point]) if len(pv) else value
+    spike = home & ok & (spike_dev[point] > 0) & (apart <= 0.5 * spike_dev[point])
+    held = home & ok & stuck[point] & (apart <= SPIKE * final[tile])
     name = pdf["entity"].to_numpy(object)
-    out.append((name[tile[mine]], seq[mine], np.where(counter[tile[mine]], "jump", "spike"), spike_dev[point][mine]))
-    held = home & stuck[point] & ok if len(point) else home
-    held &= np.abs(value - pv[point]) <= np.where(final > 0, final, 0)[tile] * SPIKE
-    out.append((name[tile[held]], seq[held], "run", np.zeros(int(held.sum()))))
-    finite = np.isfinite(value) & home
-    frames = [pd.DataFrame({"entity": e, "seq": s.astype(float), "kind": k, "dev": d, "spread": np.nan, "n": 0}) for e, s, k, d in out]
-    frames.append(pd.DataFrame({"entity": name, "seq": np.nan, "kind": "tile", "dev": np.nan, "spread": final, "n": np.bincount(tile[finite], minlength=n_tiles)}))
-    done = pd.concat(frames, ignore_index=True)
-    done["seq"] = pd.array([None if np.isnan(x) else int(x) for x in done["seq"]], dtype="Int64")
-    return done
+    frames = [
+        pd.DataFrame({"entity": name[tile[at]], "seq": seq[at], "ts": ts[at], "value": value[at], "kind": kind, "dev": spike_dev[point][at], "spread": np.nan, "n": copies[at]})
+        for at, kind in ((spike & ~counter[tile], "spike"), (spike & counter[tile], "jump"), (held, "run"))
+    ]
+    whole = np.bincount(tile, np.where(np.isfinite(value) & home, copies, 0), n_tiles).astype(np.int64)
+    frames.append(pd.DataFrame({"entity": name, "seq": 0, "ts": 0, "value": np.nan, "kind": "tile", "dev": np.nan, "spread": final, "n": whole}))
+    return pd.concat(frames, ignore_index=True)
 
 
 def implausible(rows: DataFrame) -> DataFrame:
@@ -243,17 +253,20 @@ def implausible(rows: DataFrame) -> DataFrame:
     v = F.col("value")
     out_of = F.isnan(v) | (F.abs(v) == float("inf")) | F.coalesce(v < F.col("lo"), F.lit(False)) | F.coalesce(v > F.col("hi"), F.lit(False))
     ranged = live.where(out_of).select("entity", "seq", F.lit("range").alias("kind"))
-    packed = tiles(live.where(~F.coalesce("held", F.lit(False))).select("entity", "seq", "ts", "value", (~out_of).alias("ok"), "step_ms", F.coalesce("counter", F.lit(False)).alias("counter")))
+    # Equal rows are one reading with copies, so that a tile doesn't grow with them.
+    tested = live.where(~F.coalesce("held", F.lit(False))).withColumn("ok", ~out_of)
+    once = tested.groupBy("entity", "ts", "value").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("copies"), F.min("ok").alias("ok"), F.min("step_ms").cast("bigint").alias("step_ms"), F.coalesce(F.max("counter"), F.lit(False)).alias("counter"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 yield _judge(pdf)
 
-    flags = cut(packed.mapInPandas(judge, FLAGS).where((F.col("kind") != "tile") | (F.col("n") > 0)), "flags")
+    flags = cut(tiles(once).mapInPandas(judge, FLAGS).where((F.col("kind") != "tile") | (F.col("n") > 0)), "flags")
     whole = flags.where(F.col("kind") == "tile").groupBy("entity").agg((F.sum(F.col("spread") * F.col("n")) / F.sum("n")).alias("usual"), F.sum("n").alias("readings"))
     factor = F.when(F.col("kind") == "jump", F.lit(JUMP)).otherwise(F.lit(SPIKE))
-    sure = flags.where(F.col("kind") != "tile").join(whole, "entity").where(F.col("readings") >= FEWEST)
-    runs = sure.where(F.col("kind") == "run").select("entity", "seq", "kind")
-    spikes = sure.where(F.col("kind").isin("spike", "jump") & (F.col("dev") >= factor * F.col("usual"))).select("entity", "seq", F.lit("spike").alias("kind"))
-    return ranged.unionByName(runs).unionByName(spikes)
+    judged = flags.where(F.col("kind") != "tile").join(whole, "entity").where((F.col("readings") >= FEWEST) & ((F.col("kind") == "run") | (F.col("dev") >= factor * F.col("usual"))))
+    sure = judged.select("entity", "seq", "ts", "value", F.when(F.col("kind") == "run", "run").otherwise("spike").alias("kind"), "n")
+    copied = sure.where(F.col("n") > 1).select("entity", "ts", "value", "kind").join(tested.select("entity", "ts", "value", "seq"), ["entity", "ts", "value"])
+    columns = ("entity", "seq", "kind")
+    return ranged.unionByName(sure.where(F.col("n") == 1).select(*columns)).unionByName(copied.select(*columns))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..api import Connection
 from ..functions.types import MAX_TS, ValueType as V
 from ..operators.summary import from_summary, summarise
-from ..sources.tables import Series, TableSource
+from ..sources.tables import Series, TableSource, micros_within
 
 #: 2024-01-05 and 2024-01-20 in microseconds: a range inside the events.
 START, END = 1_704_412_800_000_000, 1_705_708_800_000_000
@@ -20,10 +20,10 @@ def source(spark: SparkSession, d: str) -> TableSource:
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     kinds = {"event_type": "event_type"}
     return TableSource(spark, {
-        "events": lambda: Series(read("events"), us("ts"), F.col("value"), V.FLOAT64, kinds),
-        "event_user": lambda: Series(read("events"), us("ts"), F.col("user_id"), V.UINTEGER64, kinds),
-        "event_id": lambda: Series(read("events"), us("ts"), F.col("event_id"), V.INTEGER64, kinds),
-        "event_any": lambda: [Series(read("events"), us("ts"), F.col("value"), V.FLOAT64, kinds), Series(read("events"), us("ts"), F.col("user_id"), V.UINTEGER64, kinds)],
+        "events": lambda: Series(read("events"), us("ts"), F.col("value"), V.FLOAT64, kinds, micros_within("ts")),
+        "event_user": lambda: Series(read("events"), us("ts"), F.col("user_id"), V.UINTEGER64, kinds, micros_within("ts")),
+        "event_id": lambda: Series(read("events"), us("ts"), F.col("event_id"), V.INTEGER64, kinds, micros_within("ts")),
+        "event_any": lambda: [Series(read("events"), us("ts"), F.col("value"), V.FLOAT64, kinds, micros_within("ts")), Series(read("events"), us("ts"), F.col("user_id"), V.UINTEGER64, kinds, micros_within("ts"))],
         "lineitem_quantity": lambda: Series(read("lineitem"), us("l_shipdate"), F.col("l_quantity"), V.FLOAT64, {"returnflag": "l_returnflag", "linestatus": "l_linestatus"}),
         "order_price": lambda: Series(read("orders"), us("o_orderdate"), F.col("o_totalprice"), V.FLOAT64, {"status": "o_orderstatus", "priority": "o_orderpriority"}),
         "acctbal": lambda: Series(read("customer"), F.col("c_custkey"), F.col("c_acctbal"), V.FLOAT64, {"segment": "c_mktsegment"}),
