@@ -146,7 +146,7 @@ def letters(text: str) -> int:
 def labelled(documents: DataFrame, names: DataFrame) -> DataFrame:
     """documents with `label`: the language that lang stands for, null if it is null or unknown."""
     alias = F.broadcast(names.groupBy(F.lower("alias").alias("alias")).agg(F.min("lang").alias("label")))
-    return documents.select("doc_id", "text", F.lower(F.trim("lang")).alias("alias")).join(alias, "alias", "left").drop("alias")
+    return documents.select("doc_id", "text", F.lower("lang").alias("alias")).join(alias, "alias", "left").drop("alias")
 
 
 def train(docs: DataFrame) -> Identifier:

@@ -84,7 +84,7 @@ def test_pieces_dont_matter(me, monkeypatch):
 def test_operator(spark, me):
     rng = random.Random(8)
     en, de, py = (text(k, rng, 20) for k in ("en", "de", "python"))
-    docs = [(1, en, "en"), (2, en, "de"), (3, de, None), (4, en + py, "en"), (5, en + text("de", rng, 2), "EN "), (6, "hi", "de"), (7, None, "en"), (8, "", None), (9, py * 300, "klingon"), (2, en, "de")]
+    docs = [(1, en, "en"), (2, en, "de"), (3, de, None), (4, en + py, "en"), (5, en + text("de", rng, 2), "EN"), (6, "hi", "de"), (7, None, "en"), (8, "", None), (9, py * 300, "klingon"), (2, en, "de")]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, lang string, label string")
     names = spark.createDataFrame([("en", "en", 1), ("de", "de", 2), ("py", "python", 3)], "alias string, lang string, text int")
     rows = L.labelled(df, names)
