@@ -132,6 +132,9 @@ class Connection:
             raise CatalogError(f"{stream} is {'no stream' if not found else 'more than one stream'}")
         return found[0]
 
+    def get_stream_value_type(self, stream: str) -> ValueType:
+        return ValueType(self._single(stream)["value_type"])
+
     def prepare_insert(self, stream: str) -> Inserter:
         row = self._single(stream)
         return Inserter(self._store(), row["stream_id"], ValueType(row["value_type"]))

@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from .api import Connection
+from .chart import plot
 from .errors import LoomError
 from .functions.types import MAX_TS, ValueType
 from .session import local_session
@@ -23,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("--start", type=int, default=0)
     query.add_argument("--end", type=int, default=MAX_TS)
     query.add_argument("--export-csv")
+    query.add_argument("--chart", action="store_true")
     create = sub.add_parser("create-stream")
     create.add_argument("stream")
     create.add_argument("value_type", choices=["i64", "u64", "f64"])
@@ -36,13 +38,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def show(conn: Connection, text: str, start: int, end: int, export: str | None, out) -> None:
+def show(conn: Connection, text: str, start: int, end: int, out, export: str | None = None, chart: bool = False) -> None:
     q = conn.prepare_query(text, start, end)
     if q.return_type == "scalar":
         while (v := q.next_scalar()) is not None:
             print(v, file=out)
     elif export:
         write_csv(q.df, export)
+    elif chart:
+        print(plot(q.df), file=out)
     else:
         while (row := q.next_vector()) is not None:
             print(*row, file=out)
@@ -54,10 +58,11 @@ def run(conn: Connection, a: argparse.Namespace, out=sys.stdout, lines=sys.stdin
             name = r["labels"].get("__name")
             print(f"{name}{{{', '.join(f'{k}={v!r}' for k, v in sorted(r['labels'].items()) if k != '__name')}}} {r['value_type']} {r['stream_id']}", file=out)
     elif a.command == "parse-headers":
-        for r in conn.store.headers().toLocalIterator():
-            print(*(f"{k}={v}" for k, v in r.asDict().items()), file=out)
+        for df in (conn.store.headers(), conn.store.files()):
+            for r in df.toLocalIterator():
+                print(*(f"{k}={v}" for k, v in r.asDict().items()), file=out)
     elif a.command == "query":
-        show(conn, a.query, a.start, a.end, a.export_csv, out)
+        show(conn, a.query, a.start, a.end, out, a.export_csv, a.chart)
     elif a.command == "create-stream":
         print(conn.create_stream(a.stream, ValueType.of(a.value_type)), file=out)
     elif a.command == "insert":
@@ -71,7 +76,7 @@ def run(conn: Connection, a: argparse.Namespace, out=sys.stdout, lines=sys.stdin
         for line in lines:
             if line.strip():
                 try:
-                    show(conn, line.strip(), 0, MAX_TS, None, out)
+                    show(conn, line.strip(), 0, MAX_TS, out)
                 except LoomError as e:
                     print(f"error: {e}", file=out)
 

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..api import Connection
 from ..functions.types import MAX_TS, ValueType as V
+from ..operators.catalog import required_files, streams_by_postings
 from ..operators.summary import from_summary, summarise
+from .keys_sql import cid
 from ..sources.tables import Series, TableSource, micros_within
 
+#: A range of id_to_file in milliseconds, and labels of the inverted index.
+NEEDED, WANTED = (1_516_000_000_000, 1_517_000_000_000), {"__name": "chamber_temp", "site": "birch"}
 #: 2024-01-05 and 2024-01-20 in microseconds: a range inside the events.
 START, END = 1_704_412_800_000_000, 1_705_708_800_000_000
 
@@ -156,8 +160,16 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_csv(spark, path, V.FLOAT64)
 
 
+def needed_files(spark: SparkSession, d: str) -> DataFrame:
+    return required_files(spark.read.parquet(f"{d}/id_to_file.parquet"), *NEEDED).select("id", "filename", "start_ts", "end_ts")
+
+
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return streams_by_postings(spark.read.parquet(f"{d}/stream_to_ids.parquet"), WANTED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: planned(n) for n in PLANNED} | {"list_streams": list_streams, "header_stats": header_stats, "summary_hint_sum": summary_hint_sum, "csv_roundtrip": csv_roundtrip}
+    return {n: planned(n) for n in PLANNED} | {"list_streams": list_streams, "header_stats": header_stats, "summary_hint_sum": summary_hint_sum, "csv_roundtrip": csv_roundtrip, "needed_files": needed_files, "postings": postings}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -172,4 +184,6 @@ def oracle_sql() -> dict[str, str]:
         "header_stats": "SELECT event_type AS stream_id, strftime(ts, '%Y-%m-%d') AS file_id, min(epoch_us(ts)) AS min_ts, max(epoch_us(ts)) AS max_ts, count(*) AS n, round(sum(value), 4) AS value_sum, min(value) AS min_value, max(value) AS max_value, arg_min(value, ts) AS first_value FROM events GROUP BY ALL",
         "summary_hint_sum": f"SELECT round(sum(value), 4) AS value FROM events WHERE event_type = 'click' AND {AT} BETWEEN {START + 7_200_000_000} AND {END - 7_200_000_000}",
         "csv_roundtrip": vs("user_id"),
+        "needed_files": f"SELECT id, filename, start_ts, end_ts FROM id_to_file WHERE (end_ts IS NULL OR end_ts >= {NEEDED[0]}) AND start_ts <= {NEEDED[1]}",
+        "postings": "SELECT stream_id FROM (" + " INTERSECT ".join(f"SELECT {cid('e')} AS stream_id FROM (SELECT unnest(from_json(CASE WHEN json_valid(ids) AND json_type(ids) = 'ARRAY' THEN ids ELSE '[]' END, '[\"VARCHAR\"]')) AS e FROM stream_to_ids WHERE name = '{k}' AND value = '{v}') WHERE e IS NOT NULL" for k, v in WANTED.items()) + ")",
     }

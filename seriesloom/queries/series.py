@@ -11,6 +11,7 @@ from ..operators.orphans import json_elements, orphans
 from ..operators.percentiles import percentiles, state
 from ..operators.rolling import DAY_MS, RollingState, rolling_totals
 from ..operators.spikes import implausible
+from .keys_sql import cfile, cid
 from ..sources.store import named, plausible, readings
 
 PERMILLE = [10, 50, 250, 500, 750, 950, 990]
@@ -146,15 +147,6 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_implausible, p3_found, p3_periods, p4_percentiles, p4_merged, p5_rolling, p5_versions, p6_found, p6_report)}
 
 
-def cid(c: str) -> str:
-    d = f"regexp_replace(regexp_replace(lower(trim({c})), '^\\s*\\{{?\\s*urn:uuid:', ''), '[\\s{{}}-]', '', 'g')"
-    return f"CASE WHEN regexp_full_match({d}, '[0-9a-f]{{32}}') THEN {d}[1:8] || '-' || {d}[9:12] || '-' || {d}[13:16] || '-' || {d}[17:20] || '-' || {d}[21:32] ELSE lower(trim({c})) END"
-
-
-def cfile(c: str) -> str:
-    return f"lower(regexp_replace(replace({c}, '\\', '/'), '^(\\./|/)+', ''))"
-
-
 def oracle_sql() -> dict[str, str]:
     covered = f"""r AS (SELECT {cid('id')} AS id, {cfile('filename')} AS f, start_ts, end_ts, registered_at FROM id_to_file WHERE id IS NOT NULL AND filename IS NOT NULL),
 l AS (SELECT *, row_number() OVER (PARTITION BY id, f ORDER BY registered_at DESC NULLS LAST, end_ts DESC NULLS LAST, start_ts DESC NULLS LAST) AS k FROM r),

@@ -141,3 +141,9 @@ class Warehouse:
         return self.summary.select("stream_id", "file_id", "min_ts", "max_ts", "n", *(pick(p).alias(f"{p}_value") for p in ("sum", "min", "max", "first")))
 
 
+
+    def files(self) -> DataFrame:
+        """Per Parquet file of samples: its size in bytes, its rows, and how many times smaller it is than 16 bytes a
+        row."""
+        per = self.samples.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
+        return per.withColumn("ratio", F.col("n") * 16 / F.col("bytes"))

@@ -10,7 +10,9 @@ import pytest
 
 from seriesloom import cli, http
 from seriesloom.api import Connection
+from seriesloom.chart import plot
 from seriesloom.functions.types import ValueType as V
+from seriesloom.operators.catalog import required_files, streams_by_postings
 from seriesloom.sources.csv import CsvError, read_csv
 from seriesloom.streaming.ingest import ingest
 
@@ -33,11 +35,12 @@ def test_csv(conn, spark, tmp_path):
     run("create-stream", "n{a=\"b\"}", "f64")
     run("insert", "n", "3", "1.5")
     run("query", "sum(n)")
+    run("query", "m", "--chart")
     run("list-all-streams")
     run("parse-headers")
     run()
     text = out.getvalue()
-    assert "1 5\n2 7\n" in text and "1.5\n" in text and "n{a='b'} Float64" in text and "sum_value=12.0" in text and "\n12\n" in text and "error:" in text
+    assert "1 5\n2 7\n" in text and "1.5\n" in text and "n{a='b'} Float64" in text and "sum_value=12.0" in text and "ratio=" in text and "\n7\n" in text and "\n12\n" in text and "error:" in text
     f.write_text("Timestamp,Value\n1,5\n2,-7\n")
     with pytest.raises(CsvError, match="line 3"):
         read_csv(spark, str(f), V.UINTEGER64)
@@ -45,6 +48,22 @@ def test_csv(conn, spark, tmp_path):
     assert read_csv(spark, str(f), V.UINTEGER64).isEmpty()
 
 
+def test_chart(spark):
+    df = spark.createDataFrame([(i, float(i % 10)) for i in range(1000)] + [(5, float("nan"))], "ts bigint, value double")
+    lines = plot(df, 50, 10).split("\n")
+    assert lines[0] == "9" and lines[-1] == "0" and len(lines) == 12 and lines[5].count("*") == 50
+    assert plot(df.limit(0)) == ""
+
+
+def test_catalog_lookups(spark):
+    files = spark.createDataFrame([("a", "1", 1, 3), ("a", "2", 3, 5), ("a", "3", 5, 7), ("b", "4", 6, None), ("b", "5", None, 9)], "id string, filename string, start_ts bigint, end_ts bigint")
+    names = lambda s, e: sorted(r["filename"] for r in required_files(files, s, e).collect())
+    assert names(4, 4) == ["2"] and names(2, 6) == ["1", "2", "3", "4"] and names(99, 99) == ["4"] and names(0, 0) == []
+    post = spark.createDataFrame([("n", "x", '["a", "b", null]'), ("n", "x", '["c"'), ("n", "x", '["C"]'), ("l", "1", '["c", "a", "a"]'), ("l", "2", '["b"]'), ("n", None, '["q"]'), (None, "x", None)], "name string, value string, ids string")
+    assert sorted(r[0] for r in streams_by_postings(post, {"n": "x", "l": "1"}).collect()) == ["a", "c"]
+    assert streams_by_postings(post, {}).collect() == [] and streams_by_postings(post.limit(0), {"n": "x"}).collect() == []
+
+
 def test_http(conn, spark, tmp_path):
     conn.create_stream("m", V.INTEGER64)
     ins = conn.prepare_insert("m")
