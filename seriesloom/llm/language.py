@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import spread
 from .kn import Model, encode, lines_of
 
 #: Labelled documents a language to train on, and the longest such document; the bounds of the sample.
@@ -185,7 +186,7 @@ def language_segments(docs: DataFrame, identifier: Identifier) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at], "label": pdf["label"].to_numpy()[at], "enough": enough[at], "segment": s["segment"], "first_line": s["first"], "last_line": s["last"], "lang_found": names[s["lang"]], "confidence": s["confidence"], "share": s["share"]})
                 a = b
 
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text", "label").mapInPandas(run, f"doc_id {kind}, label string, enough boolean, {SEGMENTS}")
+    return spread(docs.where(F.col("text").isNotNull()).select("doc_id", "text", "label")).mapInPandas(run, f"doc_id {kind}, label string, enough boolean, {SEGMENTS}")
 
 
 def languages_found(segments: DataFrame) -> DataFrame:

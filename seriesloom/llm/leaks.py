@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
+
 WORDS = 15
 BLOCK = 8
 TABLE_BITS = 20
@@ -113,7 +115,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     documents; documents never move. Null texts and ids have no passages, nor have texts of fewer than `words` words.
     Repeated documents each have their rows (once per id), as have repeated items."""
     spark = documents.sparkSession
-    ids, texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()), items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
+    ids = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    ids = spread(ids)
     kind, item_kind = dict(ids.dtypes)["doc_id"], dict(texts.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}"
     out = spark.createDataFrame([], schema)
