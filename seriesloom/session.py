@@ -53,3 +53,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores if it is read in fewer partitions than there are cores, as a small file is; else as
+    it is, without a shuffle. Select the columns that are needed first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import canonical_id
+from ..session import spread
 
 #: Bounds of a plausible ts in milliseconds: 2018-01-01 (included) to 2027-01-01 (excluded).
 FIRST_MS, LAST_MS = 1_514_764_800_000, 1_798_761_600_000
@@ -14,7 +15,8 @@ def plausible(samples: DataFrame) -> DataFrame:
     """(seq, stream_id, name, ts, value) of the rows with a stream, a plausible ts and a value, NaN and infinities
     included. Stream ids are canonical."""
     keep = F.col("stream_id").isNotNull() & F.col("value").isNotNull() & (F.col("ts") >= FIRST_MS) & (F.col("ts") < LAST_MS)
-    return samples.where(keep).select("seq", canonical_id(F.col("stream_id")).alias("stream_id"), "name", "ts", "value")
+    rows = spread(samples.where(keep).select("seq", "stream_id", "name", "ts", "value"))
+    return rows.select("seq", canonical_id(F.col("stream_id")).alias("stream_id"), "name", "ts", "value")
 
 
 def finite(rows: DataFrame) -> DataFrame:
