@@ -66,7 +66,7 @@ def tiles(rows: DataFrame) -> DataFrame:
     reading = F.struct("ts", "seq", "value", "ok", "copies", (F.col("t") == F.col("home")).alias("home"))
     return placed.groupBy("entity", "step_ms", "counter", "per_day", "blocks", "width", "t").agg(F.collect_list(reading).alias("r")).select(
         "entity", "step_ms", "counter", "per_day", "blocks", "width", *(F.col(f"r.{c}").alias(c) for c in ("ts", "seq", "value", "ok", "copies", "home"))
-    )
+    ).where(F.array_contains("home", True))
 
 
 def low_rank(u: np.ndarray, tile: np.ndarray, row: np.ndarray, col: np.ndarray, count: int) -> np.ndarray:

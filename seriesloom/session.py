@@ -24,12 +24,15 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one that ends with the process."""
+    """The folder in spark.checkpoint.dir; where that is unset, in local mode one that ends with the process, on a
+    cluster one beside its tables, if these aren't on a machine's own disk."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        ctx = spark.sparkContext
-        if not ctx.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            tables = spark.conf.get("spark.sql.warehouse.dir")
+            if "://" not in tables:
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            return f"{tables.rstrip('/')}/_seriesloom"
         where = tempfile.mkdtemp(prefix="seriesloom-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
