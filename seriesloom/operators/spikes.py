@@ -35,8 +35,6 @@ SIDE, HALF = 5, 10
 CELLS = 1_000_000
 
 FLAGS = "entity string, seq bigint, ts bigint, value double, kind string, dev double, spread double, n bigint"
-#: A source whose fullest tile has more readings gets shorter slots.
-CROWDED = 65_536
 
 
 def _laid(rows: DataFrame) -> DataFrame:
@@ -57,12 +55,9 @@ def _tile(slot: Column) -> Column:
 
 def tiles(rows: DataFrame) -> DataFrame:
     """rows (entity, seq, ts, value, ok, copies, step_ms, counter) to one row per tile, with the readings in arrays.
-    Crowded sources, with far more readings than slots, are laid out with slots so much shorter that their fullest
-    tile is of the usual size."""
-    fullest = _laid(rows).groupBy("entity", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.max("n").alias("n"))
-    crowded = fullest.where(F.col("n") > CROWDED).select("entity", F.ceil(F.col("n") / F.lit(CROWDED // 4)).alias("part"))
-    finer = rows.join(crowded, "entity", "left").withColumn("step_ms", F.greatest(F.lit(1), F.floor(F.col("step_ms") / F.coalesce("part", F.lit(1))))).drop("part")
-    placed = _laid(finer).withColumn("t", F.explode(F.array_distinct(F.array(F.col("home"), _tile(F.col("slot") - HALO), _tile(F.col("slot") + HALO)))))
+    A tile holds at most its slots' distinct readings: about one a slot for a source that keeps to its step, up to one
+    a millisecond for one that doesn't."""
+    placed = _laid(rows).withColumn("t", F.explode(F.array_distinct(F.array(F.col("home"), _tile(F.col("slot") - HALO), _tile(F.col("slot") + HALO)))))
     reading = F.struct("ts", "seq", "value", "ok", "copies", (F.col("t") == F.col("home")).alias("home"))
     return placed.groupBy("entity", "step_ms", "counter", "per_day", "blocks", "width", "t").agg(F.collect_list(reading).alias("r")).select(
         "entity", "step_ms", "counter", "per_day", "blocks", "width", *(F.col(f"r.{c}").alias(c) for c in ("ts", "seq", "value", "ok", "copies", "home"))
@@ -267,6 +262,6 @@ def implausible(rows: DataFrame) -> DataFrame:
     factor = F.when(F.col("kind") == "jump", F.lit(JUMP)).otherwise(F.lit(SPIKE))
     judged = flags.where(F.col("kind") != "tile").join(whole, "entity").where((F.col("readings") >= FEWEST) & ((F.col("kind") == "run") | (F.col("dev") >= factor * F.col("usual"))))
     sure = judged.select("entity", "seq", "ts", "value", F.when(F.col("kind") == "run", "run").otherwise("spike").alias("kind"), "n")
-    copied = sure.where(F.col("n") > 1).select("entity", "ts", "value", "kind").join(tested.select("entity", "ts", "value", "seq"), ["entity", "ts", "value"])
+    copied = cut(sure.where(F.col("n") > 1).select("entity", "ts", "value", "kind"), "copied").join(tested.select("entity", "ts", "value", "seq"), ["entity", "ts", "value"])
     columns = ("entity", "seq", "kind")
     return ranged.unionByName(sure.where(F.col("n") == 1).select(*columns)).unionByName(copied.select(*columns))
