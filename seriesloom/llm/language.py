@@ -140,8 +140,10 @@ class Identifier:
         }
 
 
-def letters(text: str) -> int:
-    return sum(map(str.isalpha, text)) if len(text) < 10 * LETTERS else LETTERS + 1 if sum(map(str.isalpha, text[: 10 * LETTERS])) >= LETTERS else sum(map(str.isalpha, text))
+def enough_letters(text: str) -> bool:
+    """Whether a text has LETTERS letters or more, found in its beginning where it can be."""
+    head = text[: 10 * LETTERS]
+    return sum(map(str.isalpha, head)) >= LETTERS or (len(text) > len(head) and sum(map(str.isalpha, text)) >= LETTERS)
 
 
 def labelled(documents: DataFrame, names: DataFrame) -> DataFrame:
@@ -174,7 +176,7 @@ def language_segments(docs: DataFrame, identifier: Identifier) -> DataFrame:
         names = np.array([*me.languages, None], object)
         for pdf in batches:
             texts = pdf["text"].tolist()
-            enough = np.array([letters(t) >= LETTERS for t in pdf["text"]], bool)
+            enough = np.array([enough_letters(t) for t in texts], bool)
             a = 0
             while a < len(texts):
                 b, size = a, 0
