@@ -21,7 +21,7 @@ class UnsupportedError(QueryError):
         self.label = label
 
 
-class RangeError_(QueryError, ValueError):
+class TimeRangeError(QueryError, ValueError):
     """A start or end of the time range is missing or they are turned round."""
 
 

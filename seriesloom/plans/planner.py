@@ -8,7 +8,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import QuerySyntaxError, RangeError_, UnsupportedError
+from ..errors import QuerySyntaxError, TimeRangeError, UnsupportedError
 from ..functions.numeric import ARITHMETIC, fold
 from ..functions.types import MAX_TS, ValueType
 from ..operators import aggregate as agg
@@ -52,7 +52,7 @@ class Source(Protocol):
 class Planner:
     def __init__(self, source: Source, start: int | None, end: int | None, hints: bool = True):
         if start is not None and end is not None and start > end:
-            raise RangeError_(f"start {start} is after end {end}")
+            raise TimeRangeError(f"start {start} is after end {end}")
         self.source, self.start, self.end, self.hints = source, start, end, hints
 
     def plan(self, text: str) -> Plan:
@@ -84,9 +84,9 @@ class Planner:
             start = 0 if s.at == "start" else MAX_TS if s.at == "end" else int(s.at * 1000)
             start = max(0, min(MAX_TS, start + (s.offset_ms or 0)))
         if start is None:
-            raise RangeError_("start is missing")
+            raise TimeRangeError("start is missing")
         if end is None:
-            raise RangeError_("end is missing")
+            raise TimeRangeError("end is missing")
         return start, end
 
     def selector(self, s: q.Selector) -> Plan:

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from seriesloom.api import Connection
-from seriesloom.errors import CatalogError, NoStreamsMatchedError, QuerySyntaxError, RangeError_, UnsupportedError, ValueTypeError
+from seriesloom.errors import CatalogError, NoStreamsMatchedError, QuerySyntaxError, TimeRangeError, UnsupportedError, ValueTypeError
 from seriesloom.functions.types import ValueType as V
 
 INSERT = {V.INTEGER64: "insert_integer64", V.UINTEGER64: "insert_uinteger64", V.FLOAT64: "insert_float64"}
@@ -107,7 +107,7 @@ def test_errors(conn, text, error, label):
 
 def test_range_errors_and_types(conn):
     for a, b in ((None, 1), (1, None), (5, 1)):
-        with pytest.raises(RangeError_):
+        with pytest.raises(TimeRangeError):
             conn.prepare_query("ints", a, b)
     assert run(conn, "1 + 1", None, None) == [2]
     types = {"ints + 2": V.FLOAT64, "ints - uints": V.INTEGER64, "ints / uints": V.FLOAT64, "ints > 1": V.INTEGER64, "count(floats)": V.FLOAT64, "count(floats > 1)": V.UINTEGER64, "avg(ints)": V.FLOAT64, "topk(1, uints)": V.UINTEGER64}
