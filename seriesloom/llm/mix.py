@@ -1,8 +1,10 @@
 """Drawing documents so that each source gives its target share of all tokens, by a min-cost flow.
 
 A text may stand in several sources. Distinct texts are put together by membership pattern: how many documents each
-source has of the text. Tokens flow from the patterns to the sources' quotas; using a pattern's texts for the k-th
-time costs k - 1, so repetition spreads before it deepens, over all sources together. The network has one node per
+source has of the text. A text with many copies has an entry for every MOST_COPIES of them in each source, and an
+entry's depth, how many others of its text come before it, is part of its pattern, by powers of two. Tokens flow from
+the patterns to the sources' quotas; using a pattern's texts for the k-th time costs k - 1, and as much more as the
+entries before could be used, so repetition spreads before it deepens, over all sources together. The network has one node per
 pattern and per source, whatever the number of documents, and is solved on the driver.
 
 Drawing: a pattern's texts lie on a circle in the order of a seeded hash, each as long as its tokens. The sources'
@@ -26,7 +28,8 @@ from ..session import cut, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE vocabularies of this kind split text before merging; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Documents of one text and source that can be drawn; further copies add nothing but repetition.
+#: Documents of one text and source in one entry of the pool; a text with more copies has several entries, so that the
+#: patterns stay few and no copy is left out.
 MOST_COPIES = 4
 RANGE_BITS = 12
 
@@ -97,9 +100,10 @@ class Network:
             total += push
 
 
-def route(patterns: dict[str, tuple[dict[str, int], int]], shares: dict[str, float], repeats: dict[str, int], total: int | None = None) -> tuple[dict[tuple[str, str], int], int]:
+def route(patterns: dict[str, tuple[dict[str, int], int]], shares: dict[str, float], repeats: dict[str, int], total: int | None = None, before: dict[str, int] | None = None) -> tuple[dict[tuple[str, str], int], int]:
     """Tokens per (pattern, source), and the size drawn. patterns: per pattern, documents of each text by source, and
     the tokens of all its texts. total: tokens wanted; at most, and by default, as many as all quotas can be met with.
+    before: per pattern, copies in each of its sources that stand in entries of the same text before it; 0 by default.
     Quotas are cut to whole tokens."""
     room = {s: sum(w * n.get(s, 0) * repeats[s] for n, w in patterns.values()) for s in shares}
     exact = {s: Fraction(x) for s, x in shares.items() if x > 0}
@@ -108,8 +112,9 @@ def route(patterns: dict[str, tuple[dict[str, int], int]], shares: dict[str, flo
     net = Network()
     arcs = {}
     for p, (n, w) in patterns.items():
+        deep = (before or {}).get(p, 0) * sum(repeats[s] for s in exact if n.get(s, 0) > 0)
         for k in range(sum(n.get(s, 0) * repeats[s] for s in exact)):
-            net.arc("from", ("p", p), w, k)
+            net.arc("from", ("p", p), w, deep + k)
         for s in exact:
             if n.get(s, 0) * repeats[s] > 0:
                 arcs[p, s] = net.arc(("p", p), ("s", s), w * n[s] * repeats[s])
@@ -125,8 +130,7 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     counts: as from token_counts; targets: (source, target_share, max_repeats), a row per source, a handful (they are
     read by the driver). Each source's tokens differ from its share of the size drawn by less than one document's
     tokens per pattern that it draws from. No document is used more than max_repeats times. The same seed draws the
-    same documents. Of more than MOST_COPIES documents with the same text and source that many are chosen from, by
-    the hash. Sources without a target, with a null or zero share or no repeats give nothing; if a source with a share
+    same documents. All documents with the same text and source can be drawn. Sources without a target, with a null or zero share or no repeats give nothing; if a source with a share
     has no documents, nothing can be drawn in proportion and the result is empty. Documents of no tokens aren't drawn.
     Repeated doc_ids count as documents of their own."""
     rows = [r for r in targets.select("source", "target_share", "max_repeats").collect() if r[0] is not None and (r[1] or 0) > 0]
@@ -138,12 +142,16 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: i
         return empty
     known = cut(counts.where(F.col("source").isin(names) & (F.col("tokens") > 0)), "tokens")
     copy = Window.partitionBy("digest", "source").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    limited = known.withColumn("copy", F.row_number().over(copy) - 1).where(F.col("copy") < MOST_COPIES)
+    numbered = known.withColumn("n", F.row_number().over(copy) - 1)
+    entries = numbered.withColumn("entry", F.floor(F.col("n") / F.lit(MOST_COPIES))).withColumn("copy", F.col("n") % MOST_COPIES).drop("n")
     per = F.concat_ws(",", *(F.count(F.when(F.col("source") == s, 1)).cast("string") for s in names))
-    texts = cut(limited.groupBy("digest").agg(F.max("tokens").alias("w"), per.alias("pattern")), "texts")
-    sums = texts.groupBy("pattern").agg(F.sum("w")).collect()  # at most (MOST_COPIES + 1) ** sources patterns
-    patterns = {r[0]: (dict(zip(names, map(int, r[0].split(",")))), int(r[1])) for r in sums}
-    flows, _ = route(patterns, shares, repeats, total)
+    # Depth 0 is a text's first entry, depth d its entries from 2^(d - 1) to 2^d - 1.
+    depth = F.when(F.col("entry") > 0, F.length(F.bin("entry"))).otherwise(0)
+    texts = cut(entries.groupBy("digest", "entry").agg(F.max("tokens").alias("w"), per.alias("copies")).withColumn("pattern", F.concat_ws("@", "copies", depth.cast("string"))).drop("copies"), "texts")
+    sums = texts.groupBy("pattern").agg(F.sum("w")).collect()  # at most (MOST_COPIES + 1) ** sources patterns a depth
+    patterns = {r[0]: (dict(zip(names, map(int, r[0].split("@")[0].split(",")))), int(r[1])) for r in sums}
+    before = {p: MOST_COPIES * (2 ** int(p.split("@")[1]) // 2) for p in patterns}
+    flows, _ = route(patterns, shares, repeats, total, before)
     if not flows:
         return empty
     arcs, at = [], {}
@@ -152,15 +160,15 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: i
         at[p] = begin + x
         arcs.append((p, s, begin, begin + x, patterns[p][1]))
     plan = F.broadcast(spark.createDataFrame(arcs, "pattern string, source string, begin bigint, stop bigint, around bigint"))
-    hashed = texts.withColumn("h", F.xxhash64("digest", F.lit(seed))).withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS))
+    hashed = texts.withColumn("h", F.xxhash64("digest", "entry", F.lit(seed))).withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS))
     ranges = hashed.groupBy("pattern", "range").agg(F.sum("w").alias("size"))
     ranges = ranges.select("pattern", "range", (F.sum("size").over(Window.partitionBy("pattern").orderBy("range")) - F.col("size")).alias("base"))
-    inner = Window.partitionBy("pattern", "range").orderBy("h", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    placed = hashed.join(ranges, ["pattern", "range"]).select("digest", "pattern", (F.col("base") + F.sum("w").over(inner) - F.col("w")).alias("c"))
+    inner = Window.partitionBy("pattern", "range").orderBy("h", "digest", "entry").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hashed.join(ranges, ["pattern", "range"]).select("digest", "entry", "pattern", (F.col("base") + F.sum("w").over(inner) - F.col("w")).alias("c"))
     # Starts c + k * around in [begin, stop): as many as there are multiples in between.
     passed = lambda end: F.greatest(F.lit(0), F.floor((F.col(end) - F.col("c") + F.col("around") - 1) / F.col("around")))
-    uses = placed.join(plan, "pattern").select("digest", "source", (passed("stop") - passed("begin")).alias("uses"), F.get(F.split("pattern", ","), F.array_position(F.array(*map(F.lit, names)), F.col("source")).cast("int") - 1).cast("int").alias("copies"))
-    drawn = limited.join(uses.where(F.col("uses") > 0), ["digest", "source"])
+    uses = placed.join(plan, "pattern").select("digest", "entry", "source", (passed("stop") - passed("begin")).alias("uses"), F.get(F.split(F.substring_index("pattern", "@", 1), ","), F.array_position(F.array(*map(F.lit, names)), F.col("source")).cast("int") - 1).cast("int").alias("copies"))
+    drawn = entries.join(uses.where(F.col("uses") > 0), ["digest", "entry", "source"])
     own = F.floor(F.col("uses") / F.col("copies")) + (F.col("copy") < F.col("uses") % F.col("copies")).cast("bigint")
     return drawn.select("doc_id", "source", "tokens", own.cast("bigint").alias("repeats")).where(F.col("repeats") > 0)
 

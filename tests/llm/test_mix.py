@@ -71,6 +71,18 @@ def test_mix(spark):
     assert draw(spark, docs, [])[1] == [] and draw(spark, [], targets)[1] == []
 
 
+def test_every_copy_can_be_drawn(spark):
+    """A text with 50 copies in one source offers all of them, but only once its other texts are used as often."""
+    hot = [(i, "a", "hot", 10) for i in range(50)]
+    other = [(i, "b", f"b{i}", 10) for i in range(50, 100)]
+    assert sorted(draw(spark, hot, [("a", 1.0, 1)])[1]) == [(i, "a", 10, 1) for i in range(50)]
+    assert sorted(draw(spark, hot, [("a", 1.0, 3)])[1]) == [(i, "a", 10, 3) for i in range(50)]
+    assert sorted(draw(spark, hot + other, [("a", 0.5, 1), ("b", 0.5, 1)])[1]) == [(i, s, n, 1) for i, s, _, n in hot + other]
+    single = [(i, "a", f"a{i}", 10) for i in range(50, 100)]
+    few = draw(spark, hot + single, [("a", 1.0, 1)], total=510)[1]
+    assert len(few) == 51 and sum(i < 50 for i, *_ in few) == 1
+
+
 def test_token_counts(spark):
     if not os.path.exists(M.VOCABULARY):
         pytest.skip("no vocabulary")
