@@ -16,16 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.robust import group_median, group_spread, running_median
+from ..functions.robust import group_median, group_spread, row_median, running_median
 from ..session import cut
 
 CHUNK = 1024
 #: Chunks that advance side by side, and the lags (in readings) whose second differences tell R from q.
 LANES, LAGS = 1024, (1, 4)
-#: A reading so many spreads off its running median says nothing about its source's level; it still fills its slot.
-OUTLIER = 12.0
+#: A reading so many spreads off the levels of the HALF readings on either side says nothing about its source's level;
+#: it still fills its slot.
+OUTLIER, HALF = 12.0, 10
 #: Least R and q, and the variance of what is unknown at the start, all against a scale of 1.
 LEAST_R, LEAST_Q, UNKNOWN = 1e-6, 1e-9, 1e4
 
@@ -220,8 +221,7 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slot, at, v, n = (np.concatenate([np.asarray(x) for x in pdf[c]]).astype(float) for c in ("slot", "at", "value", "n"))
         ok = (n > 0) & ~np.isnan(v)
         g, t, v = g[ok], (slot + at)[ok], v[ok]
-        off = v - running_median(v, g, 10)
-        keep = np.abs(off) <= OUTLIER * np.maximum(group_spread(off, g, len(pdf)), 1e-12)[g]
+        keep = ~outliers(v, g, len(pdf))
         g, t, v = g[keep], t[keep], v[keep]
         center = group_median(v, g, len(pdf))
         spread = group_spread(v - center[g], g, len(pdf))
@@ -310,8 +310,8 @@ def regular(rows: DataFrame) -> DataFrame:
         F.coalesce(F.greatest(F.col("r") / (scale * scale), F.lit(LEAST_R)), F.lit(1.0)).alias("r"), F.coalesce(F.greatest(F.col("q") / (scale * scale), F.lit(LEAST_Q)), F.lit(1.0)).alias("q"), F.col("center").isNotNull().alias("known"),
     )
     chunks = params.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first") / F.lit(CHUNK)), F.floor(F.col("last") / F.lit(CHUNK)))))
-    # Values far off the running median are taken out where chunks are packed for smoothing, as in the moments.
-    full = cut(chunks.join(packed.drop("step_ms"), ["entity", "chunk"], "left"), "grid")
+    # Outliers are taken out where chunks are packed for smoothing, judged with the readings next to the chunk.
+    full = cut(chunks.join(packed.drop("step_ms"), ["entity", "chunk"], "left").join(_beside(packed), ["entity", "chunk"], "left"), "grid")
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _blocks(batches):
@@ -341,20 +341,59 @@ def regular(rows: DataFrame) -> DataFrame:
     return cells.select("entity", ((F.col("first") + F.col("i")) * F.col("step_ms")).alias("slot_ts"), real("value").alias("value"), real("sd").alias("sd"), F.col("c.total").alias("n_readings"), (F.col("c.total") == 0).alias("missing"))
 
 
+def _beside(packed: DataFrame) -> DataFrame:
+    """(entity, chunk, before, after): the HALF values before and after each chunk with any, however far away."""
+    values = packed.select("entity", "chunk", F.filter("value", lambda x: x.isNotNull()).alias("v")).where(F.size("v") > 0)
+    ends = values.select("entity", "chunk", F.slice("v", 1, HALF).alias("head"), F.slice("v", F.greatest(F.lit(1), F.size("v") - (HALF - 1)), HALF).alias("tail"))
+    by = Window.partitionBy("entity").orderBy("chunk")
+    near = ends.select("entity", "chunk", F.flatten(F.collect_list("tail").over(by.rowsBetween(-HALF, -1))).alias("b"), F.flatten(F.collect_list("head").over(by.rowsBetween(1, HALF))).alias("a"))
+    return near.select("entity", "chunk", F.slice("b", F.greatest(F.lit(1), F.size("b") - (HALF - 1)), HALF).alias("before"), F.slice("a", 1, HALF).alias("after"))
+
+
+def outliers(v: np.ndarray, g: np.ndarray, count: int) -> np.ndarray:
+    """Which values lie OUTLIER units beyond the levels on both sides. v: values in order of time within their groups g.
+
+    A side's level reaches from the median of its HALF values to where their usual step takes it by the time of the
+    value, so that a trend, its ends and a restart are no outliers. A unit is the spread about the running median, or
+    the usual size of a change if that is more, as in series that hold their value or grow evenly; single values
+    between two equal ones don't count as changes."""
+    off = v - running_median(v, g, HALF)
+    size = np.abs(np.r_[np.nan, np.diff(v)]) if len(v) else v
+    size[1:][(g[1:] != g[:-1])] = np.nan
+    lone = 1 + np.flatnonzero((g[2:] == g[:-2]) & (v[2:] == v[:-2]) & (v[1:-1] != v[:-2]))
+    size[lone] = size[lone + 1] = np.nan
+    usual = np.nan_to_num(group_median(np.where(size > 0, size, np.nan), g, count))
+    limit = OUTLIER * np.maximum(np.maximum(group_spread(off, g, count), usual), 1e-12)
+    out = np.abs(off) > limit[g]
+    c = np.flatnonzero(out)
+    if not len(c):
+        return out
+    low, high = np.full(len(c), np.nan), np.full(len(c), np.nan)
+    for way in (-1, 1):
+        at = c[:, None] + way * np.arange(1, HALF + 1)
+        inside = (at >= 0) & (at < len(v))
+        at = np.clip(at, 0, len(v) - 1)
+        w = np.where(inside & (g[at] == g[c][:, None]), v[at], np.nan)
+        level = row_median(w)
+        reached = level + row_median(w[:, :-1] - w[:, 1:]) * ((~np.isnan(w)).sum(1) + 1) / 2
+        low, high = np.fmin(low, np.fmin(level, reached)), np.fmax(high, np.fmax(level, reached))
+    with np.errstate(invalid="ignore"):
+        out[c] = np.maximum(v[c] - high, low - v[c]) > limit[g[c]]
+    return out
+
+
 def gated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The same rows without the values that lie OUTLIER spreads off their running median."""
+    """The same rows without the values that are outliers."""
     pdf = pdf.copy()
     some = np.flatnonzero([x is not None and len(x) > 0 for x in pdf["slot"]])
     if len(some):
-        sizes = [len(pdf["value"].iloc[i]) for i in some]
-        v = np.concatenate([np.asarray(pdf["value"].iloc[i], float) for i in some])
-        g = np.repeat(np.arange(len(some)), sizes)
-        ok = ~np.isnan(v)
-        off = np.zeros(len(v))
-        off[ok] = v[ok] - running_median(v[ok], g[ok], 10)
-        spread = group_spread(np.where(ok, off, np.nan), g, len(some))
-        v[np.abs(off) > OUTLIER * np.maximum(spread, 1e-12)[g]] = np.nan
-        parts = np.split(v, np.cumsum(sizes)[:-1])
+        near = [[np.zeros(0) if x is None else np.asarray(x, float) for x in pdf[c].iloc[some]] for c in ("before", "value", "after")]
+        lengths = np.array([[len(x) for x in part] for part in near]).T
+        v = np.concatenate([x for row in zip(*near) for x in row])
+        g = np.repeat(np.arange(len(some)), lengths.sum(1))
+        ok = np.flatnonzero(~np.isnan(v))
+        v[ok[outliers(v[ok], g[ok], len(some))]] = np.nan
+        parts = np.split(v, np.cumsum(lengths.ravel())[:-1])[1::3]
         column = pdf["value"].to_numpy(object).copy()
         for i, x in zip(some, parts):
             column[i] = x

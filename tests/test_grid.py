@@ -92,3 +92,44 @@ def test_fills_and_uncertainty(spark):
     assert err.median() < 0.3 and err[got["missing"]].median() < 0.3 and err.max() < 3
     assert (err <= 3 * got["sd"]).mean() > 0.95
     assert got["sd"][(got["ts"] > 725_000) & (got["ts"] < 735_000)].min() > 1.2 * got["sd"].median()
+
+
+def kept(v, before=(), after=()):
+    v = np.asarray(v, float)
+    pdf = pd.DataFrame([{"slot": np.arange(len(v)), "value": v, "before": np.asarray(before, float), "after": np.asarray(after, float)}])
+    return ~np.isnan(grid.gated(pdf)["value"].iloc[0])
+
+
+def test_gate_keeps_trends_restarts_and_holds():
+    """Only what lies off both sides is an outlier, in series whose spread about the running median is 0 as well."""
+    rng = np.random.default_rng(2)
+    even = 3.0 * np.arange(1044)
+    for up in (even, np.cumsum(rng.integers(1, 9, 1044)).astype(float)):
+        up[500:] -= up[500]  # a restart
+        assert kept(up[10:-10], up[:10], up[-10:]).all() and kept(up).all()
+        up[300] += 900
+        assert np.flatnonzero(~kept(up)).tolist() == [300]
+    held = np.full(1000, 20.0)
+    for a, n in ((100, 2), (300, 3), (500, 7), (700, 40)):
+        held[a : a + n] += 5
+    assert kept(held).all()
+    held[900] = 900
+    assert np.flatnonzero(~kept(held)).tolist() == [900]
+    flat = np.full(1000, 7.0)
+    flat[[400, 600]] = 500, 90
+    assert np.flatnonzero(~kept(flat)).tolist() == [400, 600]
+    noisy = rng.normal(0, 1, 1000)
+    noisy[600:605] += 100
+    noisy[0] = 100
+    assert np.flatnonzero(~kept(noisy)).tolist() == [0, 600, 601, 602, 603, 604]
+    assert kept(noisy, [100] * 10)[0]
+
+
+def test_level_change_at_a_chunk_edge(spark):
+    """The last slots of a chunk are judged with the first readings after it, however far away and of whatever chunk."""
+    v = np.where(np.arange(1100) < 1020, 10.0, 20.0) + np.random.default_rng(6).normal(0, 0.05, 1100)
+    assert kept(v[:1024], [], v[1024:1034]).all()
+    chunks = [("a", 0, [1.0, None, *map(float, range(2, 30))]), ("a", 1, [None]), ("a", 7, [50.0, 51.0]), ("a", 8, [float(x) for x in range(60, 80)]), ("b", 0, [5.0])]
+    got = {(r["entity"], r["chunk"]): (r["before"], r["after"]) for r in grid._beside(spark.createDataFrame(chunks, "entity string, chunk bigint, value array<double>")).collect()}
+    late = [float(x) for x in range(20, 30)]
+    assert got == {("a", 0): ([], [50.0, 51.0, *map(float, range(60, 68))]), ("a", 7): (late, [float(x) for x in range(60, 70)]), ("a", 8): (late[2:] + [50.0, 51.0], []), ("b", 0): ([], [])}
