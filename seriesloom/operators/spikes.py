@@ -6,7 +6,8 @@ matrix into a low-rank part, the normal daily behaviour, and a sparse part. What
 candidate; an exact check then compares it with the levels of the unaffected readings on both sides.
 
 A source's days are cut into tiles of bounded size, some days times some slots of the day, with a margin of HALO slots
-on either side so that levels, bursts and runs are seen whole. So no task gets a whole source, however long. The source's spread is
+on either side so that levels, bursts and runs are seen whole. Tiles with far more readings than slots are split by
+time, with margins counted in readings. So no task gets a whole source, however long or dense. The source's spread is
 put together from its tiles'.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.robust import group_median, group_spread, offsets, row_median, running_median, windows
 from ..session import cut
@@ -33,6 +34,9 @@ RUN, FEWEST = 8, 40
 SIDE, HALF = 5, 10
 #: Cells of the matrices that are worked on at a time.
 CELLS = 1_000_000
+#: A tile of more readings is split into parts of about half as many, at whole spans of SPAN_MS, with a margin of at
+#: least MARGIN readings.
+CROWDED, SPAN_MS, MARGIN = 65_536, 1000, 256
 
 FLAGS = "entity string, seq bigint, ts bigint, value double, kind string, dev double, spread double, n bigint"
 
@@ -53,13 +57,43 @@ def _tile(slot: Column) -> Column:
     return F.struct(F.floor(day / F.col("days")).alias("db"), F.floor((slot - day * F.col("per_day")) / F.col("width")).alias("cb"))
 
 
-def tiles(rows: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows in each tile `t` that they belong to or are in the margin of."""
+    return _laid(rows).withColumn("t", F.explode(F.array_distinct(F.array(F.col("home"), _tile(F.col("slot") - HALO), _tile(F.col("slot") + HALO)))))
+
+
+def _split(placed: DataFrame) -> DataFrame:
+    """placed, of crowded tiles only, with the parts of its tile that each reading belongs to or is in the margin of.
+    A part of two days and more gets slots of about one reading; a shorter one has no days (per_day 0)."""
+    heavy = cut(placed.withColumn("span", F.floor(F.col("ts") / F.lit(SPAN_MS))), "crowded")
+    tile, part = Window.partitionBy("entity", "t"), Window.partitionBy("entity", "t", "p")
+    spans = heavy.groupBy("entity", "t", "span").agg(F.count(F.lit(1)).alias("n"))
+    spans = spans.withColumn("upto", F.sum("n").over(tile.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.withColumn("from", F.col("upto") - F.col("n")).withColumn("p", F.dense_rank().over(tile.orderBy(F.floor(F.col("from") / F.lit(max(1, CROWDED // 2))))).cast("bigint"))
+    spans = spans.withColumn("begin", F.min("from").over(part)).withColumn("end", F.max("upto").over(part))
+    length = ((F.max("span") - F.min("span") + 1) * SPAN_MS).alias("length")
+    sizes = spans.groupBy("entity", "t", "p").agg(length, F.sum("n").alias("n")).select("entity", "t", F.col("p").alias("part"), F.when(F.col("length") >= 2 * DAY_MS, F.greatest(F.lit(1), F.floor(F.col("length") / F.col("n")))).alias("fine"))
+    near = F.array("p", F.when(F.col("from") < F.col("begin") + MARGIN, F.col("p") - 1), F.when(F.col("upto") > F.col("end") - MARGIN, F.col("p") + 1))
+    parts = spans.select("entity", "t", "span", "p", F.explode(near).alias("part")).join(sizes, ["entity", "t", "part"])
+    per_day = F.coalesce(F.round(F.lit(DAY_MS) / F.col("fine")).cast("bigint"), F.lit(0).cast("bigint"))
+    split = heavy.withColumn("own", F.col("t") == F.col("home")).join(parts, ["entity", "t", "span"]).withColumn("own", F.col("own") & (F.col("p") == F.col("part")))
+    return split.withColumn("step_ms", F.coalesce("fine", "step_ms")).withColumn("per_day", per_day).withColumn("blocks", F.lit(1).cast("bigint")).withColumn("width", F.greatest(F.lit(1), "per_day")).select(*TILED)
+
+
+TILED = ("entity", "seq", "ts", "value", "ok", "copies", "step_ms", "counter", "per_day", "blocks", "width", "t", "part", "own")
+
+
+def tiles(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """rows (entity, seq, ts, value, ok, copies, step_ms, counter) to one row per tile, with the readings in arrays.
-    A tile holds at most its slots' distinct readings: about one a slot for a source that keeps to its step, up to one
-    a millisecond for one that doesn't."""
-    placed = _laid(rows).withColumn("t", F.explode(F.array_distinct(F.array(F.col("home"), _tile(F.col("slot") - HALO), _tile(F.col("slot") + HALO)))))
-    reading = F.struct("ts", "seq", "value", "ok", "copies", (F.col("t") == F.col("home")).alias("home"))
-    return placed.groupBy("entity", "step_ms", "counter", "per_day", "blocks", "width", "t").agg(F.collect_list(reading).alias("r")).select(
+    counted: rows, or what they were made from, to find crowded tiles by. Only the readings of those move once more."""
+    placed = _placed(rows)
+    many = cut(_placed(rows if counted is None else counted).groupBy("entity", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("entity", "t"), "many")
+    usual = placed.withColumn("part", F.lit(0).cast("bigint")).withColumn("own", F.col("t") == F.col("home"))
+    if not many.isEmpty():
+        crowded = F.broadcast(many)  # at most a row for every CROWDED readings
+        usual = usual.join(crowded, ["entity", "t"], "left_anti").select(*TILED).unionByName(_split(placed.join(crowded, ["entity", "t"], "left_semi")))
+    reading = F.struct("ts", "seq", "value", "ok", "copies", F.col("own").alias("home"))
+    return usual.groupBy("entity", "step_ms", "counter", "per_day", "blocks", "width", "t", "part").agg(F.collect_list(reading).alias("r")).select(
         "entity", "step_ms", "counter", "per_day", "blocks", "width", *(F.col(f"r.{c}").alias(c) for c in ("ts", "seq", "value", "ok", "copies", "home"))
     ).where(F.array_contains("home", True))
 
@@ -164,7 +198,7 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
 
     per_day, width, blocks, step_ms = (pdf[c].to_numpy(np.int64) for c in ("per_day", "width", "blocks", "step_ms"))
     slot = pt[good] // step_ms[gg]
-    day = slot // per_day[gg]
+    day = np.where(per_day[gg] > 0, slot // np.maximum(per_day, 1)[gg], 0)
     col = slot - day * per_day[gg]
     # A margin that reaches over midnight belongs to the day whose block it adjoins.
     low_col = np.full(n_tiles, np.iinfo(np.int64).max)
@@ -257,7 +291,7 @@ def implausible(rows: DataFrame) -> DataFrame:
             if len(pdf):
                 yield _judge(pdf)
 
-    flags = cut(tiles(once).mapInPandas(judge, FLAGS).where((F.col("kind") != "tile") | (F.col("n") > 0)), "flags")
+    flags = cut(tiles(once, tested).mapInPandas(judge, FLAGS).where((F.col("kind") != "tile") | (F.col("n") > 0)), "flags")
     whole = flags.where(F.col("kind") == "tile").groupBy("entity").agg((F.sum(F.col("spread") * F.col("n")) / F.sum("n")).alias("usual"), F.sum("n").alias("readings"))
     factor = F.when(F.col("kind") == "jump", F.lit(JUMP)).otherwise(F.lit(SPIKE))
     judged = flags.where(F.col("kind") != "tile").join(whole, "entity").where((F.col("readings") >= FEWEST) & ((F.col("kind") == "run") | (F.col("dev") >= factor * F.col("usual"))))

@@ -245,3 +245,37 @@ def test_copies_count_once(spark):
     v[1500] += 30
     t, v = np.r_[t, np.full(500, t[1500]), np.full(300, t[7])], np.r_[v, np.full(500, v[1500]), np.full(300, v[7])]
     assert flagged(spark, [("a", t, v, False, False)]) == {("spike", "a", i) for i in (1500, *range(3000, 3500))}
+
+
+def test_copies_and_crowded_sources(spark, monkeypatch):
+    """Many copies of a row are one reading; far more readings than slots are split, with the same result."""
+    from seriesloom.operators import spikes
+
+    t, v = readings(3000, 8, 1000)
+    v[1500] += 30
+    t, v = np.r_[t, np.full(500, t[1500]), np.full(300, t[7])], np.r_[v, np.full(500, v[1500]), np.full(300, v[7])]
+    want = {("spike", "a", i) for i in (1500, *range(3000, 3500))}
+    assert flagged(spark, [("a", t, v, False, False)]) == want
+    monkeypatch.setattr(spikes, "CROWDED", 200)
+    assert flagged(spark, [("a", t, v, False, False)]) == want
+
+
+def test_crowded_tiles_are_split(spark, monkeypatch):
+    """No task gets more than about CROWDED readings, no reading is lost, and cases at the parts' borders are found."""
+    from seriesloom.operators import spikes
+
+    monkeypatch.setattr(spikes, "CROWDED", 1000)
+    monkeypatch.setattr(spikes, "MARGIN", 64)
+    t, v = readings(6000, 5, 1000)
+    at = (500, 1000, 1499, 2777, 4001)
+    for i in at:
+        v[i] += 30
+    v[2494:2506] = v[2494]
+    slow, w = readings(300, 6)
+    w[100] += 30
+    want = {("spike", "a", i) for i in at} | {("run", "a", i) for i in range(2494, 2506)} | {("spike", "b", 100)}
+    assert flagged(spark, [("a", t, v, False, False), ("b", slow, w, False, False)]) == want
+    once = spark.createDataFrame([("a", i, int(x), float(y), True, 1, 60_000, False) for i, (x, y) in enumerate(zip(t, v))], "entity string, seq bigint, ts bigint, value double, ok boolean, copies bigint, step_ms bigint, counter boolean")
+    got = spikes.tiles(once).select("seq", "home").collect()
+    assert len(got) > 5 and max(len(r["seq"]) for r in got) <= 1000
+    assert sorted(s for r in got for s, h in zip(r["seq"], r["home"]) if h) == list(range(6000))
