@@ -21,6 +21,8 @@ from ..session import cut
 MOST_BITS = 27
 #: Two 64-bit hashes give four positions of up to MOST_BITS bits each.
 SHIFTS = (0, 32)
+#: Bytes of JSON up to which its variant, at most three times as large, is within Spark's limit of 128 MiB.
+VARIANT_FITS = 2**24
 
 
 def _hashes(key: Column) -> list[Column]:
@@ -85,4 +87,7 @@ def json_elements(c: Column) -> Column:
     """Elements of a JSON array of texts; an empty array for null, broken JSON and JSON that is no array."""
     parsed = F.try_parse_json(c)
     valid = F.schema_of_variant(parsed).startswith("ARRAY")
-    return F.coalesce(F.when(valid, F.from_json(c, "array<string>")), F.array().cast("array<string>"))
+    # A long text may have no variant because that would be too large, so it is read as strictly without one.
+    strict = F.from_json(c, "array<string>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    large = F.when(parsed.isNull() & (F.octet_length(c) > VARIANT_FITS), strict)
+    return F.coalesce(F.when(valid, F.from_json(c, "array<string>")), large, F.array().cast("array<string>"))

@@ -167,6 +167,15 @@ def test_json_elements(spark):
     assert [r[0] for r in got] == [["a", None, "b"], [], [], [], [], [], [], [], ["1", "[2]"]]
 
 
+def test_json_elements_beyond_a_variant(spark):
+    """A valid array too large for a variant keeps its elements; a broken or other text of that size has none."""
+    inner = F.expr("array_join(array_repeat(repeat('x', n), 16), between)")
+    forms = [(10**7, '["', '","', '"]'), (10**7, '["', '","', '"'), (10**7, "['", "','", "']"), (10**7, '{"a": "', "", '"}')]
+    texts = spark.createDataFrame(forms, "n int, open string, between string, close string").repartition(4).select("open", "close", F.concat("open", inner, "close").alias("t"))
+    got = texts.select("open", "close", F.transform(json_elements(F.col("t")), F.length).alias("n")).collect()
+    assert {(r["open"], r["close"]): r["n"] for r in got} == {('["', '"]'): [10**7] * 16, ('["', '"'): [], ("['", "']"): [], ('{"a": "', '"}'): []}
+
+
 # --- implausible readings
 
 
