@@ -5,6 +5,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("TZ", "UTC")
+# One BLAS thread, set before numpy is imported: starting the JVM forks, and a forked thread pool can wait for good.
+for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ[name] = "1"
 
 
 @pytest.fixture(scope="session")
