@@ -1,25 +1,28 @@
 """Drawing documents so that each source gives its target share of all tokens, by a min-cost flow.
 
-A text may stand in several sources. Distinct texts are put together by membership pattern: how many documents each
-source has of the text. A text with many copies has an entry for every MOST_COPIES of them in each source, and an
-entry's depth, how many others of its text come before it, is part of its pattern, by powers of two. Tokens flow from
-the patterns to the sources' quotas; using a pattern's texts for the k-th time costs k - 1, and as much more as the
-entries before could be used, so repetition spreads before it deepens, over all sources together. The network has one node per
-pattern and per source, whatever the number of documents, and is solved on the driver.
-
-Drawing: a pattern's texts lie on a circle in the order of a seeded hash, each as long as its tokens. The sources'
-flows follow one another round the circle; a source uses a text as often as the text's start is passed. Positions are
-prefix sums in two steps, within ranges of the hash and over the ranges, so no task orders a whole pattern.
+A text may stand in several sources, and several times in one. Each text's copies in a source are taken apart by the
+bits of their number: entry j of a text has 2^j copies in every source whose number has bit j, so that no copy is left
+out. Entries are put together by membership pattern: the sources they stand in, j, and depth, the size (in bits) of
+what the text's lower entries hold. So there are at most 2^sources patterns a j and depth, whatever the number of
+documents or copies. Tokens flow from the patterns to the sources' quotas; a pattern's costs grow with every further
+use of its texts, the uses of their lower entries counted, so repetition spreads before it deepens, over all sources
+together. The flow is found on the driver, cost by cost, by augmenting paths over the sources with the patterns in
+arrays.
+
+Drawing: a pattern's entries lie on a circle in the order of a seeded hash, each as long as its text's tokens. The
+sources' flows follow one another round the circle; a source uses an entry as often as the entry's start is passed.
+Positions are prefix sums in two steps, within ranges of a hash and over the ranges, so no task orders a whole pattern;
+a text's uses are dealt out to its copies in the same way, so no task gets all copies of a text.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import deque
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -28,10 +31,10 @@ from ..session import cut, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE vocabularies of this kind split text before merging; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Documents of one text and source in one entry of the pool; a text with more copies has several entries, so that the
-#: patterns stay few and no copy is left out.
-MOST_COPIES = 4
-RANGE_BITS = 12
+#: Ranges of the hashes of a pattern's entries, and of a text's documents, that prefix sums are taken in.
+RANGE_BITS, COPY_BITS = 12, 10
+#: Uses from this one on are put together by powers of two, each at one cost.
+EXACT_COSTS = 8
 
 
 @cache
@@ -57,71 +60,104 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     return spread(rows.select("doc_id", "source", F.unhex(F.md5("text")).alias("digest"), "text")).mapInPandas(count, f"doc_id {kind}, source string, digest binary, tokens bigint")
 
 
-class Network:
-    """Min-cost flow by cheapest augmenting paths; arcs may be walked back."""
-
-    def __init__(self) -> None:
-        self.arcs: list[list] = []  # to, room, cost
-        self.out: dict[object, list[int]] = {}
-
-    def arc(self, a, b, room: int, cost: int = 0) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out.setdefault(x, []).append(len(self.arcs))
-            self.arcs.append([y, r, c])
-        return len(self.arcs) - 2
-
-    def flow(self, i: int) -> int:
-        return self.arcs[i + 1][1]
-
-    def run(self, s, t) -> int:
-        total = 0
-        while True:
-            cost, via, queue, waiting = {s: 0}, {}, deque([s]), {s}
-            while queue:
-                a = queue.popleft()
-                waiting.discard(a)
-                for i in self.out.get(a, ()):
-                    b, room, c = self.arcs[i]
-                    if room > 0 and cost[a] + c < cost.get(b, 1 << 62):
-                        cost[b], via[b] = cost[a] + c, i
-                        if b not in waiting:
-                            queue.append(b)
-                            waiting.add(b)
-            if t not in via:
-                return total
-            path, x = [], t
-            while x != s:
-                path.append(via[x])
-                x = self.arcs[via[x] ^ 1][0]
-            push = min(self.arcs[i][1] for i in path)
-            for i in path:
-                self.arcs[i][1] -= push
-                self.arcs[i ^ 1][1] += push
-            total += push
+def cost(k: int) -> int:
+    """Cost of a token's use after k uses of its text."""
+    return k if k < EXACT_COSTS else k.bit_length() - EXACT_COSTS.bit_length() + EXACT_COSTS
+
+
+def _levels(first: int, uses: int) -> dict[int, int]:
+    """How many of the uses that follow `first` others have each cost."""
+    out, k, end = {}, first, first + uses
+    while k < end:
+        stop = k + 1 if k < EXACT_COSTS else 1 << k.bit_length()
+        out[cost(k)] = min(stop, end) - k
+        k = stop
+    return out
+
+
+def _dealt(amount: int, limits: np.ndarray) -> np.ndarray:
+    """amount, from the first on as much to each as its limit."""
+    upto = np.cumsum(limits)
+    return np.clip(amount - (upto - limits), 0, limits)
+
+
+def _push(x: np.ndarray, room: np.ndarray, supply: np.ndarray, quota: np.ndarray) -> None:
+    """Maximum flow from supply over patterns and sources to quota, on top of the flow x; all are changed in place. A
+    path enters at a source, may take tokens over from that source to another (of patterns in both), and so on."""
+    n = len(quota)
+    while True:
+        free = room - x
+        enter = np.minimum(supply[:, None], free).sum(0)
+        shift = np.array([[0 if s == t else np.minimum(x[:, s], free[:, t]).sum() for t in range(n)] for s in range(n)])
+        after = {s: None for s in range(n) if quota[s] > 0}  # the source that follows on the way to a quota
+        front = list(after)
+        start = next((s for s in front if enter[s] > 0), None)
+        while front and start is None:
+            front = [(s, t) for t in front for s in range(n) if s not in after and shift[s, t] > 0]
+            for s, t in front:
+                after.setdefault(s, t)
+            front = list(dict.fromkeys(s for s, _ in front))
+            start = next((s for s in front if enter[s] > 0), None)
+        if start is None:
+            return
+        path = [start]
+        while after[path[-1]] is not None:
+            path.append(after[path[-1]])
+        hops = list(zip(path, path[1:]))
+        amount = min([int(enter[start]), int(quota[path[-1]])] + [int(shift[h]) for h in hops])
+        for s, t in reversed(hops):
+            moved = _dealt(amount, np.minimum(x[:, s], free[:, t]))
+            x[:, s] -= moved
+            x[:, t] += moved
+        entered = _dealt(amount, np.minimum(supply, free[:, start]))
+        x[:, start] += entered
+        supply -= entered
+        quota[path[-1]] -= amount
 
 
 def route(patterns: dict[str, tuple[dict[str, int], int]], shares: dict[str, float], repeats: dict[str, int], total: int | None = None, before: dict[str, int] | None = None) -> tuple[dict[tuple[str, str], int], int]:
     """Tokens per (pattern, source), and the size drawn. patterns: per pattern, documents of each text by source, and
     the tokens of all its texts. total: tokens wanted; at most, and by default, as many as all quotas can be met with.
     before: per pattern, copies in each of its sources that stand in entries of the same text before it; 0 by default.
-    Quotas are cut to whole tokens."""
-    room = {s: sum(w * n.get(s, 0) * repeats[s] for n, w in patterns.values()) for s in shares}
-    exact = {s: Fraction(x) for s, x in shares.items() if x > 0}
-    most = min((int(room[s] / x) for s, x in exact.items()), default=0)
+    Quotas are cut to whole tokens.
+
+    The flow is of least cost: costs lie on the ways into the patterns only, so flow that has come in at a cost stays,
+    and it is enough to take in what each cost allows, in ascending order, letting it shift what other sources use."""
+    names = sorted(s for s, x in shares.items() if x > 0)
+    exact = {s: Fraction(shares[s]) for s in names}
+    room_of = {s: sum(w * n.get(s, 0) * repeats[s] for n, w in patterns.values()) for s in names}
+    most = min((int(room_of[s] / x) for s, x in exact.items()), default=0)
     total = most if total is None else min(total, most)
-    net = Network()
-    arcs = {}
-    for p, (n, w) in patterns.items():
-        deep = (before or {}).get(p, 0) * sum(repeats[s] for s in exact if n.get(s, 0) > 0)
-        for k in range(sum(n.get(s, 0) * repeats[s] for s in exact)):
-            net.arc("from", ("p", p), w, deep + k)
-        for s in exact:
-            if n.get(s, 0) * repeats[s] > 0:
-                arcs[p, s] = net.arc(("p", p), ("s", s), w * n[s] * repeats[s])
-    for s, x in exact.items():
-        net.arc(("s", s), "to", int(total * x))
-    net.run("from", "to")
-    return {k: net.flow(i) for k, i in arcs.items() if net.flow(i)}, total
+    keys = list(patterns)
+    room = np.array([[patterns[p][1] * patterns[p][0].get(s, 0) * repeats[s] for s in names] for p in keys], np.int64).reshape(len(keys), len(names))
+    levels: dict[int, np.ndarray] = {}
+    for i, p in enumerate(keys):
+        n, w = patterns[p]
+        inside = [s for s in names if n.get(s, 0) > 0]
+        for c, k in _levels((before or {}).get(p, 0) * sum(repeats[s] for s in inside), sum(n[s] * repeats[s] for s in inside)).items():
+            levels.setdefault(c, np.zeros(len(keys), np.int64))[i] = k * w
+    x, supply = np.zeros_like(room), np.zeros(len(keys), np.int64)
+    quota = np.array([int(total * exact[s]) for s in names], np.int64)
+    for c in sorted(levels):
+        supply += levels[c]
+        _push(x, room, supply, quota)
+    return {(keys[i], names[j]): int(x[i, j]) for i, j in zip(*np.nonzero(x))}, total
+
+
+def entries(texts: DataFrame, names: list[str]) -> DataFrame:
+    """texts (digest, w, and n_i documents in source i) to a row per text and entry: (digest, j, pattern, w)."""
+    bit = lambda c, j: F.call_function("shiftright", c, j).bitwiseAND(1)
+    n = [F.col(f"n_{i}") for i in range(len(names))]
+    most = F.length(F.bin(F.greatest(*n, F.lit(0))))
+
+    def entry(j):
+        mask = sum((bit(c, j) * 2**i for i, c in enumerate(n)), F.lit(0).cast("bigint"))
+        under = [F.when(bit(c, j) == 1, c.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), j) - 1)).otherwise(0) for c in n]
+        lower = F.greatest(*under, F.lit(0))
+        return F.struct(j.alias("j"), mask.cast("bigint").alias("mask"), F.when(lower > 0, F.length(F.bin(lower))).otherwise(0).alias("depth"))
+
+    each = F.explode(F.filter(F.transform(F.sequence(F.lit(0), most - 1), entry), lambda e: e["mask"] > 0))
+    return texts.select("digest", "w", each.alias("e")).select("digest", "w", F.col("e.j").alias("j"), F.concat_ws("@", "e.mask", "e.j", "e.depth").alias("pattern"))
 
 
 def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17) -> DataFrame:
@@ -130,9 +166,10 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     counts: as from token_counts; targets: (source, target_share, max_repeats), a row per source, a handful (they are
     read by the driver). Each source's tokens differ from its share of the size drawn by less than one document's
     tokens per pattern that it draws from. No document is used more than max_repeats times. The same seed draws the
-    same documents. All documents with the same text and source can be drawn. Sources without a target, with a null or zero share or no repeats give nothing; if a source with a share
-    has no documents, nothing can be drawn in proportion and the result is empty. Documents of no tokens aren't drawn.
-    Repeated doc_ids count as documents of their own."""
+    same documents. All documents with the same text and source can be drawn. Sources without a target, with a null or
+    zero share or no repeats give nothing; if a source with a share has no documents, nothing can be drawn in proportion
+    and the result is empty. Documents of no tokens aren't drawn. Repeated doc_ids count as documents of their own, but
+    may be dealt a text's uses in any order among themselves."""
     rows = [r for r in targets.select("source", "target_share", "max_repeats").collect() if r[0] is not None and (r[1] or 0) > 0]
     shares, repeats = {r[0]: float(r[1]) for r in rows}, {r[0]: int(r[2] or 0) for r in rows}
     names = sorted(shares)
@@ -140,17 +177,16 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     empty = counts.select("doc_id", "source", "tokens", F.lit(0).cast("bigint").alias("repeats")).where(F.lit(False))
     if not names:
         return empty
-    known = cut(counts.where(F.col("source").isin(names) & (F.col("tokens") > 0)), "tokens")
-    copy = Window.partitionBy("digest", "source").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    numbered = known.withColumn("n", F.row_number().over(copy) - 1)
-    entries = numbered.withColumn("entry", F.floor(F.col("n") / F.lit(MOST_COPIES))).withColumn("copy", F.col("n") % MOST_COPIES).drop("n")
-    per = F.concat_ws(",", *(F.count(F.when(F.col("source") == s, 1)).cast("string") for s in names))
-    # Depth 0 is a text's first entry, depth d its entries from 2^(d - 1) to 2^d - 1.
-    depth = F.when(F.col("entry") > 0, F.length(F.bin("entry"))).otherwise(0)
-    texts = cut(entries.groupBy("digest", "entry").agg(F.max("tokens").alias("w"), per.alias("copies")).withColumn("pattern", F.concat_ws("@", "copies", depth.cast("string"))).drop("copies"), "texts")
-    sums = texts.groupBy("pattern").agg(F.sum("w")).collect()  # at most (MOST_COPIES + 1) ** sources patterns a depth
-    patterns = {r[0]: (dict(zip(names, map(int, r[0].split("@")[0].split(",")))), int(r[1])) for r in sums}
-    before = {p: MOST_COPIES * (2 ** int(p.split("@")[1]) // 2) for p in patterns}
+    h = F.xxhash64("doc_id", F.lit(seed))
+    known = cut(counts.where(F.col("source").isin(names) & (F.col("tokens") > 0)).withColumn("part", F.shiftrightunsigned(h, 64 - COPY_BITS)), "tokens")
+    parts = known.groupBy("digest", "source", "part").agg(F.count(F.lit(1)).alias("n"), F.max("tokens").alias("w"))
+    per_source = (F.sum(F.when(F.col("source") == s, F.col("n")).otherwise(0)).alias(f"n_{i}") for i, s in enumerate(names))
+    texts = cut(entries(parts.groupBy("digest").agg(F.max("w").alias("w"), *per_source), names), "texts")
+    patterns, before = {}, {}
+    for p, w in texts.groupBy("pattern").agg(F.sum("w")).collect():  # patterns: at most 2 ** sources a j and depth
+        mask, j, depth = map(int, p.split("@"))
+        patterns[p] = ({s: 2**j for i, s in enumerate(names) if mask >> i & 1}, int(w))
+        before[p] = 2**depth // 2
     flows, _ = route(patterns, shares, repeats, total, before)
     if not flows:
         return empty
@@ -160,17 +196,21 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: i
         at[p] = begin + x
         arcs.append((p, s, begin, begin + x, patterns[p][1]))
     plan = F.broadcast(spark.createDataFrame(arcs, "pattern string, source string, begin bigint, stop bigint, around bigint"))
-    hashed = texts.withColumn("h", F.xxhash64("digest", "entry", F.lit(seed))).withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS))
+    hashed = texts.withColumn("h", F.xxhash64("digest", "j", F.lit(seed))).withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS))
     ranges = hashed.groupBy("pattern", "range").agg(F.sum("w").alias("size"))
     ranges = ranges.select("pattern", "range", (F.sum("size").over(Window.partitionBy("pattern").orderBy("range")) - F.col("size")).alias("base"))
-    inner = Window.partitionBy("pattern", "range").orderBy("h", "digest", "entry").rowsBetween(Window.unboundedPreceding, 0)
-    placed = hashed.join(ranges, ["pattern", "range"]).select("digest", "entry", "pattern", (F.col("base") + F.sum("w").over(inner) - F.col("w")).alias("c"))
+    inner = Window.partitionBy("pattern", "range").orderBy("h", "digest", "j").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hashed.join(ranges, ["pattern", "range"]).select("digest", "pattern", (F.col("base") + F.sum("w").over(inner) - F.col("w")).alias("c"))
     # Starts c + k * around in [begin, stop): as many as there are multiples in between.
     passed = lambda end: F.greatest(F.lit(0), F.floor((F.col(end) - F.col("c") + F.col("around") - 1) / F.col("around")))
-    uses = placed.join(plan, "pattern").select("digest", "entry", "source", (passed("stop") - passed("begin")).alias("uses"), F.get(F.split(F.substring_index("pattern", "@", 1), ","), F.array_position(F.array(*map(F.lit, names)), F.col("source")).cast("int") - 1).cast("int").alias("copies"))
-    drawn = entries.join(uses.where(F.col("uses") > 0), ["digest", "entry", "source"])
-    own = F.floor(F.col("uses") / F.col("copies")) + (F.col("copy") < F.col("uses") % F.col("copies")).cast("bigint")
-    return drawn.select("doc_id", "source", "tokens", own.cast("bigint").alias("repeats")).where(F.col("repeats") > 0)
+    uses = placed.join(plan, "pattern").select("digest", "source", (passed("stop") - passed("begin")).alias("uses")).where(F.col("uses") > 0)
+    # A text's uses in a source, dealt out to its documents in the order of their hashes.
+    text = Window.partitionBy("digest", "source")
+    based = parts.withColumn("base", F.sum("n").over(text.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("copies", F.sum("n").over(text)).select("digest", "source", "part", "base", "copies")
+    dealt = based.join(uses.groupBy("digest", "source").agg(F.sum("uses").alias("uses")), ["digest", "source"])
+    copy = F.col("base") + F.row_number().over(Window.partitionBy("digest", "source", "part").orderBy(h, "doc_id")) - 1
+    own = F.floor(F.col("uses") / F.col("copies")) + (copy < F.col("uses") % F.col("copies")).cast("bigint")
+    return known.join(dealt, ["digest", "source", "part"]).select("doc_id", "source", "tokens", own.cast("bigint").alias("repeats")).where(F.col("repeats") > 0)
 
 
 def reached(drawn: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .language import corrections, labelled, language_segments, languages_found, train
 from .leaks import leaks
@@ -28,6 +28,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached(mix(token_counts(read(spark, d, "documents")), targets), targets)
 
 
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the draw, per source: no document over its limit, none of another source or without text, the
+    reached share within a hundredth of the target."""
+    targets, documents = read(spark, d, "mix_targets"), read(spark, d, "documents").select("doc_id", F.col("source").alias("own"), "text")
+    drawn = mix(token_counts(read(spark, d, "documents")), targets)
+    joined = drawn.join(documents, "doc_id", "left").join(targets.select("source", "max_repeats"), "source")
+    wrong = joined.groupBy("source").agg(F.count(F.when(F.col("repeats") > F.col("max_repeats"), 1)).alias("over_limit"), F.count(F.when(~F.coalesce((F.col("own") == F.col("source")) & (F.col("text") != ""), F.lit(False)), 1)).alias("foreign_documents"))
+    close = reached(drawn, targets).select("source", (F.abs(F.col("reached_share") - F.col("target_share")) <= 0.01).alias("share_reached"))
+    return close.join(wrong, "source", "left")
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return labelled(read(spark, d, "documents"), read(spark, d, "lang_names"))
 
@@ -50,10 +61,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found, p8_mix, p8_shares, p9_found, p9_segments, p9_languages)}
+    return {f.__name__: f for f in (p7_found, p8_mix, p8_shares, p8_limits, p9_found, p9_segments, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
     words = lambda t, i: f"SELECT {i}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {t} WHERE text IS NOT NULL AND {i} IS NOT NULL"
     grams = lambda t, i: f"SELECT {i}, unnest(list_transform(range(1, len(w) - 13), lambda k: array_to_string(w[k:k + 14], ' '))) AS g FROM ({words(t, i)}) WHERE len(w) >= 15"
-    return {"p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams('documents', 'doc_id')}) d JOIN (SELECT DISTINCT * FROM ({grams('eval_items', 'item_id')})) e USING (g)"}
+    return {"p8_limits": "SELECT source, 0 AS over_limit, 0 AS foreign_documents, true AS share_reached FROM mix_targets", "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams('documents', 'doc_id')}) d JOIN (SELECT DISTINCT * FROM ({grams('eval_items', 'item_id')})) e USING (g)"}

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -9,16 +10,72 @@ import pytest
 from seriesloom.llm import mix as M
 
 
-def test_network_is_cheapest():
-    net = M.Network()
-    arcs = [net.arc("s", "p", 5, 0), net.arc("s", "p", 5, 1), net.arc("s", "q", 4, 0), net.arc("s", "q", 4, 1)]
-    net.arc("p", "a", 9)
-    net.arc("q", "a", 9)
-    net.arc("q", "b", 9)
-    net.arc("a", "t", 6)
-    net.arc("b", "t", 4)
-    assert net.run("s", "t") == 10
-    assert [net.flow(i) for i in arcs] == [5, 1, 4, 0] or [net.flow(i) for i in arcs] == [5, 0, 4, 1]
+def cheapest(patterns, shares, repeats, total, before):
+    """Cost of the cheapest flow, by Bellman-Ford paths of one unit at a time on a network of its own."""
+    arcs, out = [], {}
+
+    def arc(a, b, room, cost=0):
+        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+            out.setdefault(x, []).append(len(arcs))
+            arcs.append([x, y, r, c])
+
+    for p, (n, w) in patterns.items():
+        first = before.get(p, 0) * sum(repeats[s] for s in n if n[s])
+        for k in range(sum(n[s] * repeats[s] for s in n)):
+            arc("from", ("p", p), w, M.cost(first + k))
+        for s in n:
+            arc(("p", p), ("s", s), w * n[s] * repeats[s])
+    for s, x in shares.items():
+        arc(("s", s), "to", int(total * x))
+    spent = 0
+    while True:
+        far, via = {"from": 0}, {}
+        for _ in range(len(out)):
+            for i, (a, b, r, c) in enumerate(arcs):
+                if r > 0 and a in far and far[a] + c < far.get(b, 10**9):
+                    far[b], via[b] = far[a] + c, i
+        if "to" not in via:
+            return spent
+        x = "to"
+        while x != "from":
+            arcs[via[x]][2] -= 1
+            arcs[via[x] ^ 1][2] += 1
+            x = arcs[via[x]][0]
+        spent += far["to"]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_route_is_cheapest(seed):
+    rng = random.Random(seed)
+    sources = "abcd"[: rng.randrange(2, 5)]
+    repeats = {s: rng.randrange(1, 4) for s in sources}
+    shares = {s: 1 / 4 if len(sources) == 4 else 1 / 2 if s == "a" else 0.5 / (len(sources) - 1) for s in sources}
+    patterns, before = {}, {}
+    for i in range(6):
+        some = rng.sample(sources, rng.randrange(1, len(sources) + 1))
+        patterns[f"p{i}"], before[f"p{i}"] = ({s: 2 ** rng.randrange(3) for s in some}, rng.randrange(1, 6)), rng.choice([0, 0, 1, 4])
+    flows, total = M.route(patterns, shares, repeats, rng.randrange(20, 60), before)
+    for s, x in shares.items():
+        assert sum(f for (_, t), f in flows.items() if t == s) == int(total * x)
+    spent = 0
+    for p, (n, w) in patterns.items():
+        used = [f for (q, _), f in flows.items() if q == p]
+        assert all(flows.get((p, s), 0) <= w * n[s] * repeats[s] for s in n)
+        left, k = sum(used), before[p] * sum(repeats[s] for s in n)
+        while left > 0:
+            spent += min(left, w) * M.cost(k)
+            left, k = left - w, k + 1
+    assert spent == cheapest(patterns, shares, repeats, total, before)
+
+
+def test_many_patterns_take_seconds():
+    rng = random.Random(3)
+    sources = "abcdef"
+    patterns = {i: ({s: 2 ** rng.randrange(20) for s in rng.sample(sources, rng.randrange(1, 7))}, rng.randrange(1, 10**6)) for i in range(15_000)}
+    begin = time.perf_counter()
+    flows, total = M.route(patterns, dict.fromkeys(sources, 1 / 6), dict.fromkeys(sources, 3), None, {i: rng.choice([0, 1, 2, 64]) for i in patterns})
+    assert time.perf_counter() - begin < 20
+    assert all(abs(sum(x for (_, t), x in flows.items() if t == s) - total / 6) < 2 for s in sources)
 
 
 def test_route_spreads_before_it_repeats():
@@ -83,6 +140,26 @@ def test_every_copy_can_be_drawn(spark):
     assert len(few) == 51 and sum(i < 50 for i, *_ in few) == 1
 
 
+def test_many_copies_go_over_many_tasks(spark):
+    """Copies of one text are numbered in parts; all of them, and no more, are dealt the text's uses."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20_000, "a").otherwise("b").alias("source"), F.unhex(F.md5(F.when(F.col("id") < 21_000, F.lit("hot")).otherwise(F.col("id").cast("string")))).alias("digest"), F.lit(10).cast("bigint").alias("tokens"))
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = M.mix(docs, targets).toPandas()
+    assert got.groupby("source")["repeats"].sum().to_dict() == {"a": 10_000, "b": 10_000} and got["repeats"].max() == 1 and got["doc_id"].is_unique
+    full = M.mix(docs.where("source = 'a'"), targets.where("source = 'a'")).toPandas()
+    assert len(full) == 20_000 and (full["repeats"] == 2).all()
+    odd = M.mix(docs.where("source = 'a'"), spark.createDataFrame([("a", 1.0, 2)], targets.schema), total=300_010).toPandas()
+    assert len(odd) == 20_000 and odd["repeats"].sum() == 30_001
+
+
+def test_entries_hold_every_copy(spark):
+    texts = spark.createDataFrame([(b"x", 7, 5, 0), (b"y", 3, 1, 3), (b"z", 2, 0, 4)], "digest binary, w bigint, n_0 bigint, n_1 bigint")
+    got = sorted((bytes(r["digest"]).decode(), r["w"], r["j"], r["pattern"]) for r in M.entries(texts, ["a", "b"]).collect())
+    assert got == [("x", 7, 0, "1@0@0"), ("x", 7, 2, "1@2@1"), ("y", 3, 0, "3@0@0"), ("y", 3, 1, "2@1@1"), ("z", 2, 2, "2@2@0")]
+
+
 def test_token_counts(spark):
     if not os.path.exists(M.VOCABULARY):
         pytest.skip("no vocabulary")
