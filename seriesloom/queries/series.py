@@ -8,14 +8,11 @@ from ..functions.keys import canonical_file, canonical_id
 from ..operators.grid import regular
 from ..operators.intervals import periods_and_gaps
 from ..operators.orphans import json_elements, orphans
-from ..operators.percentiles import percentiles, state
-from ..operators.rolling import DAY_MS, RollingState, rolling_totals
+from ..operators.rolling import RollingState, rolling_totals
 from ..operators.spikes import implausible
 from .keys_sql import cfile, cid
 from ..sources.store import named, plausible, readings
 
-PERMILLE = [10, 50, 250, 500, 750, 950, 990]
-
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
@@ -74,33 +71,6 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
     return got.where(F.col("kind") == "covered").select(F.col("entity").alias("id"), F.col("start").alias("period_start"), F.col("end").alias("period_end"))
 
 
-# Problem 4
-
-
-def groups(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("stream", "metric")) -> DataFrame:
-    """Each reading under its stream and its metric, by day."""
-    rows = named(readings(spark, d), ["stream_id", "ts", "value"])
-    key = {"stream": "stream_id", "metric": "metric"}
-    each = F.explode(F.array(*(F.concat(F.lit(f"{k}:"), key[k]) for k in kinds)))
-    return rows.select(each.alias("grp"), F.floor(F.col("ts") / F.lit(DAY_MS)).cast("int").alias("period"), "value", F.lit(1).alias("n"))
-
-
-def shown(df: DataFrame) -> DataFrame:
-    return df.select(F.split_part("grp", F.lit(":"), F.lit(1)).alias("kind"), F.substring_index("grp", ":", -1).alias("key"), "n", "permille", "value")
-
-
-def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact percentiles of each stream and each metric."""
-    return shown(percentiles(state(groups(spark, d)), PERMILLE))
-
-
-def p4_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The same per metric from two states that were built apart: days with even and with odd numbers."""
-    rows = groups(spark, d, ("metric",))
-    even = F.pmod("period", F.lit(2)) == 0
-    return shown(percentiles(state(rows.where(even)).unionByName(state(rows.where(~even))), PERMILLE))
-
-
 # Problem 5
 
 
@@ -144,7 +114,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_implausible, p3_found, p3_periods, p4_percentiles, p4_merged, p5_rolling, p5_versions, p6_found, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_implausible, p3_found, p3_periods, p5_rolling, p5_versions, p6_found, p6_report)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -154,8 +124,6 @@ c AS (SELECT id, start_ts AS s, coalesce(end_ts, 9223372036854775807) AS e FROM
 m AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)"""
     rows = "r AS (SELECT * FROM samples WHERE stream_id IS NOT NULL AND ts >= 1514764800000 AND ts < 1798761600000 AND value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value))"
     names = "n AS (SELECT stream_id, min(name) AS metric FROM samples WHERE stream_id IS NOT NULL AND value IS NOT NULL AND ts >= 1514764800000 AND ts < 1798761600000 GROUP BY ALL)"
-    pct = f"g AS (SELECT grp, value, row_number() OVER (PARTITION BY grp ORDER BY value) AS i, count(*) OVER (PARTITION BY grp) AS n FROM x), p AS (SELECT unnest({PERMILLE}) AS permille) SELECT split_part(grp, ':', 1) AS kind, split_part(grp, ':', 2) AS key, n, permille, value FROM g JOIN p ON i = greatest(1, (n * permille + 999) // 1000)"
-    by_metric = "SELECT 'metric:' || metric AS grp, value FROM r JOIN n USING (stream_id) WHERE metric IS NOT NULL"
     day = "SELECT DISTINCT stream_id, ts, value FROM r"
     frame = lambda f, w: f"{f} OVER (PARTITION BY stream_id ORDER BY day ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
     total = lambda w: f"(CAST(coalesce({frame('sum(s)', w)}, 0) AS DOUBLE) + coalesce({frame('sum(h)', w)}, 0))"
@@ -173,8 +141,6 @@ j AS (SELECT ref_table, ref_field, r.k AS ref_value, strftime(tm, '%Y-%m') AS pe
         "p1_found": f"WITH {names}, {known}, s AS (SELECT DISTINCT stream_id, step_ms, ts // step_ms AS slot FROM k WHERE NOT isnan(value) AND NOT isinf(value)), g AS (SELECT stream_id, any_value(step_ms) AS step_ms, unnest(range(min(slot), max(slot) + 1)) AS slot FROM s GROUP BY stream_id) SELECT stream_id, slot * step_ms AS slot_ts FROM g ANTI JOIN s USING (stream_id, slot)",
         "p3_found": f"WITH {covered} SELECT id, before + 1 AS gap_start, s - 1 AS gap_end FROM m WHERE before IS NOT NULL AND before < 9223372036854775807 AND s > before + 1",
         "p3_periods": f"WITH {covered}, i AS (SELECT *, sum(CASE WHEN before IS NULL OR (before < 9223372036854775807 AND s > before + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT id, min(s) AS period_start, nullif(max(e), 9223372036854775807) AS period_end FROM i GROUP BY id, island",
-        "p4_percentiles": f"WITH {rows}, {names}, x AS (SELECT 'stream:' || stream_id AS grp, value FROM r UNION ALL {by_metric}), {pct}",
-        "p4_merged": f"WITH {rows}, {names}, x AS ({by_metric}), {pct}",
         "p5_rolling": rolling,
         "p5_versions": rolling,
         "p6_found": f"WITH {refs} SELECT DISTINCT ref_table, ref_field, ref_value, period FROM j WHERE why IS NOT NULL",

@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions.keys import canonical_file, canonical_id
-from seriesloom.operators import percentiles as pct
 from seriesloom.operators.intervals import periods_and_gaps
 from seriesloom.operators.orphans import Bloom, json_elements, orphans
 from seriesloom.operators.rolling import RollingState, rolling_totals
@@ -66,35 +65,6 @@ def test_intervals(spark, width):
     assert rows(periods_and_gaps(df.limit(0), "entity", "s", "e")) == []
 
 
-# --- percentiles
-
-
-def exact(values, permille):
-    v = sorted(values)
-    return [v[max(1, -(-len(v) * p // 1000)) - 1] for p in permille]
-
-
-@pytest.mark.parametrize("local", [0, 10**6])
-def test_percentiles(spark, monkeypatch, local):
-    monkeypatch.setattr(pct, "LOCAL", local)
-    monkeypatch.setattr(pct, "RUN", 7)
-    rng = np.random.default_rng(5)
-    groups = {"a": rng.normal(size=301), "b": np.round(rng.normal(0, 1e300, 57)), "c": np.array([5.0]), "d": np.repeat([1.0, -2.0, 0.0, -0.0], 11), "e": np.array([math.inf, -math.inf, 1e-320, -1e-320, 3.4e38])}
-    data = [(g, int(i % 5) if i % 7 else None, float(v), 1, "x") for g, vs in groups.items() for i, v in enumerate(vs)]
-    data += [(None, 1, 1.0, 1, ""), ("a", 1, None, 1, ""), ("a", 1, math.nan, 1, ""), ("z", 1, None, 1, "")]
-    df = spark.createDataFrame(data, "grp string, period int, value double, n int, keys string").repartition(3)
-    p = [1, 100, 500, 900, 1000]
-    got = {g: [(r["value"], r["upper"]) for r in sorted((r for r in pct.percentiles(pct.state(df), p).collect() if r["grp"] == g), key=lambda r: r["permille"])] for g in groups}
-    assert got == {g: [(x, x) for x in exact(v, p)] for g, v in groups.items()}
-    halves = [pct.state(df.where(F.pmod(F.hash("value"), F.lit(2)) == i)) for i in (0, 1)]
-    merged = pct.percentiles(halves[0].unionByName(halves[1]), p)
-    assert rows(merged) == rows(pct.percentiles(pct.state(df), p))
-    loose = pct.percentiles(pct.state(df.where("grp = 'a'")), p, error_bits=40).collect()
-    for r, x in zip(sorted(loose, key=lambda r: r["permille"]), exact(groups["a"], p)):
-        assert r["value"] <= x <= r["upper"] and r["upper"] - r["value"] <= abs(x) * 2.0 ** (41 - 52)
-    assert rows(pct.percentiles(pct.state(df.limit(0)), p)) == []
-
-
 # --- rolling totals
 
 DAY = 86_400_000
