@@ -5,9 +5,10 @@ variance R. The smoother is exact over a source's whole history, yet no task eve
 the readings of CHUNK slots are one row, and each such chunk is also summed up as one element (how the state at its
 end depends on the state at its start, and what its readings say about the state at its start). Elements are
 associative, so running over a source's elements forwards and backwards gives each chunk the filtered state it starts
-from and the information of all later readings; then chunks are smoothed independently. Per source there is one
-element per CHUNK steps between its first and last reading, so their number is bounded by the calendar, not by the
-number of readings. Many chunks advance side by side, slot by slot, in arrays.
+from and the information of all later readings; then chunks are smoothed independently. A run of FAN elements is summed
+up as one element in turn; running over those gives each run what it starts from and what follows it, so a source's
+elements spread over tasks. One task gets one element per FAN * CHUNK steps between a source's first and last reading,
+which the calendar bounds, not the number of readings. Many chunks advance side by side, slot by slot, in arrays.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.robust import group_median, group_spread, row_median, running_median
 from ..session import cut
 
-CHUNK = 1024
+CHUNK, FAN = 1024, 1024
+#: Elements that are run over side by side, padded to the longest run among them.
+CELLS = 100_000
+#: Values of this size and more, such as the largest Float32 of a broken sensor, aren't believed by default.
+BELIEVED = 1e15
 #: Chunks that advance side by side, and the lags (in readings) whose second differences tell R from q.
 LANES, LAGS = 1024, (1, 4)
 #: A reading so many spreads off the levels of the HALF readings on either side says nothing about its source's level;
@@ -31,7 +36,8 @@ OUTLIER, HALF = 12.0, 10
 LEAST_R, LEAST_Q, UNKNOWN = 1e-6, 1e-9, 1e4
 
 PACKED = "entity string, step_ms bigint, chunk bigint, slot array<int>, at array<double>, value array<double>, n array<int>, total array<int>"
-MOMENTS = "entity string, weight double, center double, r double, q double, scale double"
+MOMENTS = "entity string, step_ms bigint, weight double, center double, r double, q double, scale double"
+KEY = ["entity", "step_ms", "chunk"]
 ELEMENT = [f"e{i}" for i in range(14)]
 STATE = [f"s{i}" for i in range(10)]
 OUT = "entity string, step_ms bigint, first bigint, value array<double>, sd array<double>, total array<int>"
@@ -243,37 +249,97 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = np.maximum((s4**2 - s1**2) / (g4 - g1), 0)
         r = np.maximum(s1**2 - q * g1, 0.05 * s1**2)
         n = np.bincount(g, minlength=len(pdf))
-        yield pd.DataFrame({"entity": pdf["entity"].to_numpy(), "weight": n.astype(float), "center": center, "r": r, "q": q, "scale": spread})
+        yield pd.DataFrame({"entity": pdf["entity"].to_numpy(), "step_ms": pdf["step_ms"].to_numpy(), "weight": n.astype(float), "center": center, "r": r, "q": q, "scale": spread})
+
+
+def joined(x, y):
+    """One element for x and then y."""
+    a, b, c, eta, j = x[0:4], x[4:6], x[6:9], x[9:11], x[11:14]
+    a2, b2, c2, eta2, j2 = y[0:4], y[4:6], y[6:9], y[9:11], y[11:14]
+    gain = _times(a2, _inverse(_plus_one(_times(_of(c), _of(j2)))))
+    back = _times(_turned(a), _inverse(_plus_one(_times(_of(j2), _of(c)))))
+    ce, jb = _apply(_of(c), eta2), _apply(_of(j2), b)
+    mean = _apply(gain, (b[0] + ce[0], b[1] + ce[1]))
+    cov = _times(_times(gain, _of(c)), _turned(a2))
+    info = _apply(back, (eta2[0] - jb[0], eta2[1] - jb[1]))
+    know = _times(_times(back, _of(j2)), a)
+    return (*_times(gain, a), mean[0] + b2[0], mean[1] + b2[1], cov[0] + c2[0], (cov[1] + cov[2]) / 2 + c2[1], cov[3] + c2[2], info[0] + eta[0], info[1] + eta[1], know[0] + j[0], (know[1] + know[2]) / 2 + j[1], know[3] + j[2])
+
+
+def _padded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows of runs of elements with their lengths, longest first, and the elements as [place, part, lane]: as many
+    rows at a time as make CELLS elements, so that one long run doesn't pad all others."""
+    for pdf in batches:
+        sizes = np.array([len(x) for x in pdf["chunks"]], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        pdf, sizes = pdf.iloc[order], sizes[order]
+        a = 0
+        while a < len(sizes):
+            b = a + max(1, CELLS // int(sizes[a]))
+            part, size = pdf.iloc[a:b], sizes[a:b]
+            e = np.zeros((size[0], 14, len(part)))
+            for i, c in enumerate(ELEMENT):
+                for lane, x in enumerate(part[c]):
+                    e[: len(x), i, lane] = x
+            yield part, size, e
+            a = b
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each run as one element."""
+    for pdf, sizes, e in _padded(batches):
+        whole = tuple(e[0])
+        for k in range(1, sizes[0]):
+            n = int((sizes > k).sum())  # longest first: those that go on
+            more = joined(tuple(x[:n] for x in whole), tuple(e[k][:, :n]))
+            whole = tuple(np.r_[x, y[n:]] for x, y in zip(more, whole))
+        yield pd.DataFrame({"entity": pdf["entity"].to_numpy(), "step_ms": pdf["step_ms"].to_numpy(), "chunk": pdf["run"].to_numpy()} | dict(zip(ELEMENT, whole)))
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over each source's elements, in order: the state at every chunk's start, the information after its end."""
-    for pdf in batches:
-        pdf = pdf.iloc[np.argsort([-len(x) for x in pdf["chunks"]], kind="stable")]
-        sizes = np.array([len(x) for x in pdf["chunks"]])
-        if not len(sizes):
-            continue
-        e = np.zeros((sizes[0], 14, len(pdf)))
-        for i, c in enumerate(ELEMENT):
-            for lane, x in enumerate(pdf[c]):
-                e[: len(x), i, lane] = x
+    """Over each run's elements, in order: the state at every chunk's start, the information after its end. A run starts
+    from its row's state, from the prior if that is null."""
+    for pdf, sizes, e in _padded(batches):
+        given = pdf[STATE].to_numpy(float).T
+        (m, p), new = prior(len(pdf)), np.isnan(given[2])
+        m, p = tuple(np.where(new, x, g) for x, g in zip(m, given[0:2])), tuple(np.where(new, x, g) for x, g in zip(p, given[2:5]))
         state = np.zeros((sizes[0], 10, len(pdf)))
-        m, p = prior(len(pdf))
         for k in range(sizes[0]):
-            state[k, 0:2], state[k, 2:5] = m, p
-            lanes = sizes > k
-            with np.errstate(all="ignore"):
-                m2, p2 = through(e[k], m, p)
-            m, p = tuple(np.where(lanes, a, b) for a, b in zip(m2, m)), tuple(np.where(lanes, a, b) for a, b in zip(p2, p))
-        h, j = (np.zeros(len(pdf)),) * 2, (np.zeros(len(pdf)),) * 3
+            n = int((sizes > k).sum())  # longest first: those that go on
+            m, p = tuple(x[:n] for x in m), tuple(x[:n] for x in p)
+            state[k, 0:2, :n], state[k, 2:5, :n] = m, p
+            m, p = through(e[k][:, :n], m, p)
+        h, j = tuple(np.nan_to_num(given[5:7])), tuple(np.nan_to_num(given[7:10]))
+        now_h, now_j, n = (np.empty(0),) * 2, (np.empty(0),) * 3, 0
         for k in range(sizes[0] - 1, -1, -1):
-            state[k, 5:7], state[k, 7:10] = h, j
-            lanes = sizes > k
-            h2, j2 = before(e[k], h, j)
-            h, j = tuple(np.where(lanes, a, b) for a, b in zip(h2, h)), tuple(np.where(lanes, a, b) for a, b in zip(j2, j))
-        out = {"entity": np.repeat(pdf["entity"].to_numpy(), sizes), "chunk": np.concatenate([np.asarray(x) for x in pdf["chunks"]])}
+            more = int((sizes > k).sum())
+            now_h, now_j = (tuple(np.r_[x, y[n:more]] for x, y in zip(now, all_)) for now, all_ in ((now_h, h), (now_j, j)))
+            n = more
+            state[k, 5:7, :n], state[k, 7:10, :n] = now_h, now_j
+            now_h, now_j = before(e[k][:, :n], now_h, now_j)
         live = (np.arange(sizes[0])[:, None] < sizes[None, :]).T
-        yield pd.DataFrame(out | {s: state[:, i].T[live] for i, s in enumerate(STATE)})
+        of = {c: np.repeat(pdf[c].to_numpy(), sizes) for c in ("entity", "step_ms")}
+        yield pd.DataFrame(of | {"chunk": np.concatenate([np.asarray(x) for x in pdf["chunks"]])} | {s: state[:, i].T[live] for i, s in enumerate(STATE)})
+
+
+def _states(made: DataFrame) -> DataFrame:
+    """The states of all chunks from their elements (entity, step_ms, chunk, ELEMENT)."""
+    columns = lambda cs: ", ".join(f"{c} double" for c in cs)
+    run = F.floor(F.col("chunk") / F.lit(FAN)).alias("run")
+
+    def gathered(rows: DataFrame, *by) -> DataFrame:
+        listed = rows.groupBy("entity", "step_ms", *by).agg(F.sort_array(F.collect_list(F.struct("chunk", *ELEMENT))).alias("r"))
+        return listed.select("entity", "step_ms", *([F.col("run")] if by else []), F.col("r.chunk").alias("chunks"), *(F.col(f"r.{c}").alias(c) for c in ELEMENT))
+
+    out = f"entity string, step_ms bigint, chunk bigint, {columns(STATE)}"
+    made = cut(made, "elements")
+    runs = gathered(made, run)
+    long = made.groupBy("entity", "step_ms").agg(F.min(run).alias("a"), F.max(run).alias("b")).where(F.col("a") < F.col("b"))
+    if long.isEmpty():
+        return runs.select("*", *(F.lit(None).cast("double").alias(c) for c in STATE)).mapInPandas(_scan, out)
+    whole = runs.join(long, ["entity", "step_ms"], "left_semi").mapInPandas(_fold, f"entity string, step_ms bigint, chunk bigint, {columns(ELEMENT)}")
+    starts = gathered(whole).select("*", *(F.lit(None).cast("double").alias(c) for c in STATE)).mapInPandas(_scan, out)
+    return runs.join(starts.withColumnRenamed("chunk", "run"), ["entity", "step_ms", "run"], "left").mapInPandas(_scan, out)
 
 
 def prior(n: int):
@@ -281,18 +347,19 @@ def prior(n: int):
     return (np.zeros(n), np.zeros(n)), (np.full(n, UNKNOWN), np.zeros(n), np.full(n, UNKNOWN))
 
 
-def regular(rows: DataFrame) -> DataFrame:
+def regular(rows: DataFrame, believed: float = BELIEVED) -> DataFrame:
     """(entity, slot_ts, value, sd, n_readings, missing): one row per source and step from its first to its last
     reading; value is the smoothed level at slot_ts with its standard deviation, missing says that the slot has none.
 
     rows: entity (text), ts (ms), value, step_ms and usable (false: the reading fills its slot, but its value is not
     believed). A slot's readings are averaged, repeats as often as they occur, at their mean time. Rows with a null
-    entity, ts, value or step, a step of 0 or less or a non-finite value are left out. A source none of whose values
-    is usable gets null values. One reading gives one slot. No rows, no result."""
+    entity, ts, value or step, a step of 0 or less or a non-finite value are left out. Values of `believed` and more in
+    size count as not usable; it may be raised up to 1e150, beyond which squares are no doubles. A source none of whose values is usable gets null values; one with several steps has a
+    grid for each. One reading gives one slot. No rows, no result."""
     v = F.col("value").cast("double")
     live = rows.where(F.col("entity").isNotNull() & F.col("ts").isNotNull() & v.isNotNull() & (F.col("step_ms") > 0) & ~F.isnan(v) & (F.abs(v) < float("inf")))
     slot = F.floor(F.col("ts") / F.col("step_ms"))
-    good = F.coalesce("usable", F.lit(True)) & (F.abs(v) < 1e15)
+    good = F.coalesce("usable", F.lit(True)) & (F.abs(v) < min(believed, 1e150))
     share = (F.col("ts") - slot * F.col("step_ms")) / F.col("step_ms")
     slots = live.groupBy("entity", F.col("step_ms").cast("bigint").alias("step_ms"), F.floor(slot / F.lit(CHUNK)).alias("chunk"), F.pmod(slot, F.lit(CHUNK)).cast("int").alias("slot")).agg(
         F.avg(F.when(good, share)).alias("at"), F.avg(F.when(good, v)).alias("value"), F.count(F.when(good, 1)).cast("int").alias("n"), F.count(F.lit(1)).cast("int").alias("total")
@@ -301,27 +368,25 @@ def regular(rows: DataFrame) -> DataFrame:
     packed = cut(slots.groupBy("entity", "step_ms", "chunk").agg(F.sort_array(F.collect_list(F.struct(*inner))).alias("r")).select("entity", "step_ms", "chunk", *(F.col(f"r.{c}").alias(c) for c in inner)), "chunks")
     span = packed.groupBy("entity", "step_ms").agg(F.min(F.col("chunk") * CHUNK + F.element_at("slot", 1)).alias("first"), F.max(F.col("chunk") * CHUNK + F.element_at("slot", -1)).alias("last"))
     share_of = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight")
-    moments = packed.select("entity", "slot", "at", "value", "n").mapInPandas(_moments, MOMENTS).where((F.col("weight") > 0) & F.col("center").isNotNull() & ~F.isnan("center"))
+    moments = packed.select("entity", "step_ms", "slot", "at", "value", "n").mapInPandas(_moments, MOMENTS).where((F.col("weight") > 0) & F.col("center").isNotNull() & ~F.isnan("center"))
     zero = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
-    fitted = moments.groupBy("entity").agg(share_of("center").alias("center"), F.coalesce(F.sum(zero("r") * F.col("weight")) / F.sum("weight"), F.lit(0.0)).alias("r"), F.coalesce(F.sum(zero("q") * F.col("weight")) / F.sum("weight"), F.lit(0.0)).alias("q"), F.max(zero("scale")).alias("spread"))
+    fitted = moments.groupBy("entity", "step_ms").agg(share_of("center").alias("center"), F.coalesce(F.sum(zero("r") * F.col("weight")) / F.sum("weight"), F.lit(0.0)).alias("r"), F.coalesce(F.sum(zero("q") * F.col("weight")) / F.sum("weight"), F.lit(0.0)).alias("q"), F.max(zero("scale")).alias("spread"))
     scale = F.greatest(F.col("spread"), F.sqrt("r"), F.abs("center") * 1e-9, F.lit(1e-9))
-    params = span.join(fitted, "entity", "left").select(
+    params = span.join(fitted, ["entity", "step_ms"], "left").select(
         "entity", "step_ms", "first", "last", F.coalesce("center", F.lit(0.0)).alias("center"), F.coalesce(scale, F.lit(1.0)).alias("scale"),
         F.coalesce(F.greatest(F.col("r") / (scale * scale), F.lit(LEAST_R)), F.lit(1.0)).alias("r"), F.coalesce(F.greatest(F.col("q") / (scale * scale), F.lit(LEAST_Q)), F.lit(1.0)).alias("q"), F.col("center").isNotNull().alias("known"),
     )
     chunks = params.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first") / F.lit(CHUNK)), F.floor(F.col("last") / F.lit(CHUNK)))))
     # Outliers are taken out where chunks are packed for smoothing, judged with the readings next to the chunk.
-    full = cut(chunks.join(packed.drop("step_ms"), ["entity", "chunk"], "left").join(_beside(packed), ["entity", "chunk"], "left"), "grid")
+    full = cut(chunks.join(packed, KEY, "left").join(_beside(packed), KEY, "left"), "grid")
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _blocks(batches):
             e = Lanes(gated(pdf)).elements()
-            yield pd.DataFrame({"entity": pdf["entity"].to_numpy(), "chunk": pdf["chunk"].to_numpy()} | {c: e[i] for i, c in enumerate(ELEMENT)})
+            yield pd.DataFrame({c: pdf[c].to_numpy() for c in KEY} | {c: e[i] for i, c in enumerate(ELEMENT)})
 
     several = full.where(F.floor(F.col("first") / F.lit(CHUNK)) < F.floor(F.col("last") / F.lit(CHUNK)))
-    made = several.mapInPandas(elements, "entity string, chunk bigint, " + ", ".join(f"{c} double" for c in ELEMENT))
-    runs = made.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("chunk", *ELEMENT))).alias("r")).select("entity", F.col("r.chunk").alias("chunks"), *(F.col(f"r.{c}").alias(c) for c in ELEMENT))
-    states = runs.mapInPandas(_scan, "entity string, chunk bigint, " + ", ".join(f"{s} double" for s in STATE))
+    states = _states(several.mapInPandas(elements, "entity string, step_ms bigint, chunk bigint, " + ", ".join(f"{c} double" for c in ELEMENT)))
 
     def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _blocks(batches):
@@ -335,19 +400,20 @@ def regular(rows: DataFrame) -> DataFrame:
             cutoff = lanes.length
             yield pd.DataFrame({"entity": lanes.pdf["entity"].to_numpy(), "step_ms": lanes.pdf["step_ms"].to_numpy(), "first": lanes.start, "value": [mean[:n, i] if known[i] else np.full(n, np.nan) for i, n in enumerate(cutoff)], "sd": [sd[:n, i] if known[i] else np.full(n, np.nan) for i, n in enumerate(cutoff)], "total": [lanes.total[:n, i] for i, n in enumerate(cutoff)]})
 
-    done = full.join(states, ["entity", "chunk"], "left").mapInPandas(smooth, OUT)
+    done = full.join(states, KEY, "left").mapInPandas(smooth, OUT)
     cells = done.select("entity", "step_ms", "first", F.posexplode(F.arrays_zip("value", "sd", "total")).alias("i", "c"))
     real = lambda c: F.when(~F.isnan(F.col(f"c.{c}")), F.col(f"c.{c}"))
     return cells.select("entity", ((F.col("first") + F.col("i")) * F.col("step_ms")).alias("slot_ts"), real("value").alias("value"), real("sd").alias("sd"), F.col("c.total").alias("n_readings"), (F.col("c.total") == 0).alias("missing"))
 
 
 def _beside(packed: DataFrame) -> DataFrame:
-    """(entity, chunk, before, after): the HALF values before and after each chunk with any, however far away."""
-    values = packed.select("entity", "chunk", F.filter("value", lambda x: x.isNotNull()).alias("v")).where(F.size("v") > 0)
-    ends = values.select("entity", "chunk", F.slice("v", 1, HALF).alias("head"), F.slice("v", F.greatest(F.lit(1), F.size("v") - (HALF - 1)), HALF).alias("tail"))
-    by = Window.partitionBy("entity").orderBy("chunk")
-    near = ends.select("entity", "chunk", F.flatten(F.collect_list("tail").over(by.rowsBetween(-HALF, -1))).alias("b"), F.flatten(F.collect_list("head").over(by.rowsBetween(1, HALF))).alias("a"))
-    return near.select("entity", "chunk", F.slice("b", F.greatest(F.lit(1), F.size("b") - (HALF - 1)), HALF).alias("before"), F.slice("a", 1, HALF).alias("after"))
+    """(entity, step_ms, chunk, before, after): the HALF values before and after each chunk with any, however far
+    away."""
+    values = packed.select(*KEY, F.filter("value", lambda x: x.isNotNull()).alias("v")).where(F.size("v") > 0)
+    ends = values.select(*KEY, F.slice("v", 1, HALF).alias("head"), F.slice("v", F.greatest(F.lit(1), F.size("v") - (HALF - 1)), HALF).alias("tail"))
+    by = Window.partitionBy("entity", "step_ms").orderBy("chunk")
+    near = ends.select(*KEY, F.flatten(F.collect_list("tail").over(by.rowsBetween(-HALF, -1))).alias("b"), F.flatten(F.collect_list("head").over(by.rowsBetween(1, HALF))).alias("a"))
+    return near.select(*KEY, F.slice("b", F.greatest(F.lit(1), F.size("b") - (HALF - 1)), HALF).alias("before"), F.slice("a", 1, HALF).alias("after"))
 
 
 def outliers(v: np.ndarray, g: np.ndarray, count: int) -> np.ndarray:

@@ -1,9 +1,13 @@
 """The smoother against a dense solution of the same model."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from seriesloom.operators import grid
 
 
@@ -50,7 +54,7 @@ def test_exact_over_chunks(monkeypatch, chunk):
     pdf = pd.DataFrame(rows)
     lanes = grid.Lanes(pdf)
     e = lanes.elements()
-    runs = pd.DataFrame({"entity": ["a"], "chunks": [pdf["chunk"].tolist()]} | {c: [e[i].tolist()] for i, c in enumerate(grid.ELEMENT)})
+    runs = pd.DataFrame({"entity": ["a"], "step_ms": [1], "chunks": [pdf["chunk"].tolist()]} | {c: [e[i].tolist()] for i, c in enumerate(grid.ELEMENT)} | dict.fromkeys(grid.STATE, np.nan))
     states = next(grid._scan(iter([runs])))
     mean, sd = lanes.smoothed(states[grid.STATE].to_numpy(float).T)
     got_m, got_s = np.zeros(last - first + 1), np.zeros(last - first + 1)
@@ -76,6 +80,10 @@ def test_edges(spark):
     assert got[0][2] == pytest.approx(1, abs=0.2) and got[3][2] == pytest.approx(2, abs=0.2) and got[4][2] == pytest.approx(5)
     assert all(r[2] is None and r[3] is None for r in got if r[0] == "c")
     assert run(spark, []) == []
+    large = [("a", 100 * i, 1e20 + 1e17 * i, 100, True, None) for i in range(30)]
+    assert all(r[2] is None for r in run(spark, large))
+    believed = grid.regular(spark.createDataFrame(large, ROWS), believed=1e30).collect()
+    assert all(r["value"] == pytest.approx(1e20 + 1e15 * r["slot_ts"], rel=1e-3) for r in believed)
 
 
 def test_fills_and_uncertainty(spark):
@@ -130,6 +138,32 @@ def test_level_change_at_a_chunk_edge(spark):
     v = np.where(np.arange(1100) < 1020, 10.0, 20.0) + np.random.default_rng(6).normal(0, 0.05, 1100)
     assert kept(v[:1024], [], v[1024:1034]).all()
     chunks = [("a", 0, [1.0, None, *map(float, range(2, 30))]), ("a", 1, [None]), ("a", 7, [50.0, 51.0]), ("a", 8, [float(x) for x in range(60, 80)]), ("b", 0, [5.0])]
-    got = {(r["entity"], r["chunk"]): (r["before"], r["after"]) for r in grid._beside(spark.createDataFrame(chunks, "entity string, chunk bigint, value array<double>")).collect()}
+    got = {(r["entity"], r["chunk"]): (r["before"], r["after"]) for r in grid._beside(spark.createDataFrame(chunks, "entity string, chunk bigint, value array<double>").withColumn("step_ms", F.lit(1))).collect()}
     late = [float(x) for x in range(20, 30)]
     assert got == {("a", 0): ([], [50.0, 51.0, *map(float, range(60, 68))]), ("a", 7): (late, [float(x) for x in range(60, 70)]), ("a", 8): (late[2:] + [50.0, 51.0], []), ("b", 0): ([], [])}
+
+
+def test_runs_of_elements_dont_matter(spark, monkeypatch):
+    """A source summed up in many short runs gives the values of one run; two steps of a source are grids of their own."""
+    rng = np.random.default_rng(5)
+    rows = [("a", int(t), float(v), 1, True, None) for t, v in zip(np.sort(rng.choice(15_000, 900, replace=False)), rng.normal(0, 1, 900).cumsum())]
+    rows += [("b", int(t), float(t % 7), 10, True, None) for t in range(0, 400, 3)] + [("a", int(t), 5.0, 7, True, None) for t in range(50, 3000, 7)]
+    want = run(spark, rows)
+    monkeypatch.setattr(grid, "FAN", 3)
+    got = run(spark, rows)
+    assert [r[:2] + r[4:] for r in got] == [r[:2] + r[4:] for r in want] and len(got) > 15_000
+    assert np.allclose([r[2:4] for r in got], [r[2:4] for r in want], atol=1e-6)
+    assert sum(r[2] == pytest.approx(5, abs=1e-3) for r in got if r[0] == "a" and r[1] % 7 == 0) >= 422
+
+
+def test_one_long_source_among_short_ones():
+    """Runs are padded to the longest of their block only."""
+    rng = np.random.default_rng(0)
+    sizes = np.r_[5000, np.full(9999, 2)]
+    lanes = [rng.uniform(0.1, 0.9, n) for n in sizes]
+    runs = pd.DataFrame({"entity": np.arange(len(sizes)).astype(str), "step_ms": 1, "chunks": [np.arange(n) for n in sizes]} | {c: lanes for c in grid.ELEMENT} | dict.fromkeys(grid.STATE, np.nan))
+    tracemalloc.start()
+    with np.errstate(all="ignore"):
+        got = [len(x) for x in grid._scan(iter([runs]))]
+    assert sum(got) == sizes.sum() and tracemalloc.get_traced_memory()[1] < 2e8
+    tracemalloc.stop()
