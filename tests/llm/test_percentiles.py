@@ -1,8 +1,10 @@
 """Exact bisection against sorting, in one task and in passes, over merged and relabelled states."""
 
 import math
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ def exact(values, permille):
 @pytest.mark.parametrize("local", [0, 10**6])
 def test_percentiles(spark, monkeypatch, local):
     monkeypatch.setattr(pct, "LOCAL", local)
-    monkeypatch.setattr(pct, "RUN", 7)
-    monkeypatch.setattr(pct, "BLOCK", 100)
     rng = np.random.default_rng(5)
     groups = {"a": rng.normal(size=301), "b": np.round(rng.normal(0, 1e300, 57)), "c": np.array([5.0]), "d": np.repeat([1.0, -2.0, 0.0, -0.0], 11), "e": np.array([math.inf, -math.inf, 1e-320, -1e-320, 3.4e38])}
     data = [(g, int(i % 5) if i % 7 else None, float(v), 1, "x") for g, vs in groups.items() for i, v in enumerate(vs)]
@@ -42,6 +42,20 @@ def test_percentiles(spark, monkeypatch, local):
     assert rows(pct.percentiles(pct.state(df.limit(0)), p)) == []
 
 
+def test_packing(monkeypatch):
+    """Runs of at most RUN sorted distinct values, over blocks and batches, with nothing lost."""
+    monkeypatch.setattr(pct, "RUN", 7)
+    monkeypatch.setattr(pct, "BLOCK", 100)
+    rng = np.random.default_rng(2)
+    rows = [(f"g{rng.integers(3)}", [None, "x"][rng.integers(2)], int(rng.integers(-2, 3)), float(rng.integers(30)), int(rng.integers(1, 4))) for _ in range(350)]
+    table = pa.Table.from_pylist([dict(zip(("grp", "label", "period", "value", "n"), r)) for r in rows], pa.schema([("grp", pa.string()), ("label", pa.string()), ("period", pa.int32()), ("value", pa.float64()), ("n", pa.int64())]))
+    got = [r for b in pct._pack(iter(table.to_batches(max_chunksize=60))) for r in b.to_pylist()]
+    assert all(len(r["keys"]) <= 7 and r["keys"] == sorted(set(r["keys"])) and sum(r["counts"]) == r["n"] for r in got)
+    count = lambda items: sum((Counter({k: n}) for k, n in items), Counter())
+    flat = count(((r["grp"], r["label"], r["period"], k), c) for r in got for k, c in zip(r["keys"], r["counts"]))
+    assert flat == count(((g, lab, p, int(pct.to_keys(np.array([v]))[0])), n) for g, lab, p, v, n in rows)
+
+
 @pytest.mark.parametrize("local", [20, 10**6])
 def test_relabelled(spark, monkeypatch, local):
     """States of parts are states of the whole under its name; rows without a label go with their group's."""
