@@ -1,9 +1,10 @@
 """Implausible readings: values out of range, spikes, and stuck runs, judged per source.
 
 Spikes: each source's readings form daily profile matrices, a row per UTC day and a column per slot of the day, of the
-readings' deviations from their running median in units of the source's spread. Robust principal components split a
-matrix into a low-rank part, the normal daily behaviour, and a sparse part. What falls into the sparse part is a
-candidate; an exact check then compares it with the levels of the unaffected readings on both sides.
+readings less their day's level, in units of the source's spread. Robust principal components split a matrix into a
+low-rank part, the source's normal behaviour on these days, and a sparse part. Short stretches of the sparse part are
+candidates, long ones changes of behaviour; an exact check then compares the candidates with the levels of the
+unaffected readings on both sides. What isn't sparse is no candidate, whatever its surroundings.
 
 A source's days are cut into tiles of bounded size, some days times some slots of the day, with a margin of HALO slots
 on either side so that levels, bursts and runs are seen whole. Tiles with far more readings than slots are split by
@@ -34,6 +35,8 @@ RUN, FEWEST = 8, 40
 SIDE, HALF = 5, 10
 #: Cells of the matrices that are worked on at a time.
 CELLS = 1_000_000
+#: Turns of the split into low-rank and sparse part; values further off than MOST spreads count as that far.
+TURNS, MOST = 6, 1e12
 #: A tile of more readings is split into parts of about half as many, at whole spans of SPAN_MS, with a margin of at
 #: least MARGIN readings.
 CROWDED, SPAN_MS, MARGIN = 65_536, 1000, 256
@@ -64,7 +67,7 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 def _split(placed: DataFrame) -> DataFrame:
     """placed, of crowded tiles only, with the parts of its tile that each reading belongs to or is in the margin of.
-    A part of two days and more gets slots of about one reading; a shorter one has no days (per_day 0)."""
+    Slots are of about one reading; a part of less than two days is one row (per_day 0)."""
     heavy = cut(placed.withColumn("span", F.floor(F.col("ts") / F.lit(SPAN_MS))), "crowded")
     tile, part = Window.partitionBy("entity", "t"), Window.partitionBy("entity", "t", "p")
     spans = heavy.groupBy("entity", "t", "span").agg(F.count(F.lit(1)).alias("n"))
@@ -72,40 +75,48 @@ def _split(placed: DataFrame) -> DataFrame:
     spans = spans.withColumn("from", F.col("upto") - F.col("n")).withColumn("p", F.dense_rank().over(tile.orderBy(F.floor(F.col("from") / F.lit(max(1, CROWDED // 2))))).cast("bigint"))
     spans = spans.withColumn("begin", F.min("from").over(part)).withColumn("end", F.max("upto").over(part))
     length = ((F.max("span") - F.min("span") + 1) * SPAN_MS).alias("length")
-    sizes = spans.groupBy("entity", "t", "p").agg(length, F.sum("n").alias("n")).select("entity", "t", F.col("p").alias("part"), F.when(F.col("length") >= 2 * DAY_MS, F.greatest(F.lit(1), F.floor(F.col("length") / F.col("n")))).alias("fine"))
+    sizes = spans.groupBy("entity", "t", "p").agg(length, F.sum("n").alias("n")).select("entity", "t", F.col("p").alias("part"), F.greatest(F.lit(1), F.floor(F.col("length") / F.col("n"))).alias("fine"), (F.col("length") >= 2 * DAY_MS).alias("long"))
     near = F.array("p", F.when(F.col("from") < F.col("begin") + MARGIN, F.col("p") - 1), F.when(F.col("upto") > F.col("end") - MARGIN, F.col("p") + 1))
     parts = spans.select("entity", "t", "span", "p", F.explode(near).alias("part")).join(sizes, ["entity", "t", "part"])
-    per_day = F.coalesce(F.round(F.lit(DAY_MS) / F.col("fine")).cast("bigint"), F.lit(0).cast("bigint"))
+    per_day = F.when(F.col("long"), F.round(F.lit(DAY_MS) / F.col("fine"))).otherwise(0).cast("bigint")
     split = heavy.withColumn("own", F.col("t") == F.col("home")).join(parts, ["entity", "t", "span"]).withColumn("own", F.col("own") & (F.col("p") == F.col("part")))
-    return split.withColumn("step_ms", F.coalesce("fine", "step_ms")).withColumn("per_day", per_day).withColumn("blocks", F.lit(1).cast("bigint")).withColumn("width", F.greatest(F.lit(1), "per_day")).select(*TILED)
+    return split.withColumn("step_ms", F.col("fine")).withColumn("per_day", per_day).withColumn("blocks", F.lit(1).cast("bigint")).withColumn("width", F.greatest(F.lit(1), "per_day")).select(*TILED)
 
 
-TILED = ("entity", "seq", "ts", "value", "ok", "copies", "step_ms", "counter", "per_day", "blocks", "width", "t", "part", "own")
+TILED = ("entity", "seq", "ts", "value", "ok", "copies", "finite", "step_ms", "counter", "per_day", "blocks", "width", "t", "part", "own")
 
 
 def tiles(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
-    """rows (entity, seq, ts, value, ok, copies, step_ms, counter) to one row per tile, with the readings in arrays.
-    counted: rows, or what they were made from, to find crowded tiles by. Only the readings of those move once more."""
+    """rows (entity, seq, ts, value, ok, copies, finite, step_ms, counter) to one row per tile, with the readings in
+    arrays. counted: rows, or what they were made from, to find crowded tiles by. Only the readings of those move once
+    more."""
     placed = _placed(rows)
     many = cut(_placed(rows if counted is None else counted).groupBy("entity", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("entity", "t"), "many")
     usual = placed.withColumn("part", F.lit(0).cast("bigint")).withColumn("own", F.col("t") == F.col("home"))
     if not many.isEmpty():
         crowded = F.broadcast(many)  # at most a row for every CROWDED readings
         usual = usual.join(crowded, ["entity", "t"], "left_anti").select(*TILED).unionByName(_split(placed.join(crowded, ["entity", "t"], "left_semi")))
-    reading = F.struct("ts", "seq", "value", "ok", "copies", F.col("own").alias("home"))
+    reading = F.struct("ts", "seq", "value", "ok", "copies", "finite", F.col("own").alias("home"))
     return usual.groupBy("entity", "step_ms", "counter", "per_day", "blocks", "width", "t", "part").agg(F.collect_list(reading).alias("r")).select(
-        "entity", "step_ms", "counter", "per_day", "blocks", "width", *(F.col(f"r.{c}").alias(c) for c in ("ts", "seq", "value", "ok", "copies", "home"))
+        "entity", "step_ms", "counter", "per_day", "blocks", "width", *(F.col(f"r.{c}").alias(c) for c in ("ts", "seq", "value", "ok", "copies", "finite", "home"))
     ).where(F.array_contains("home", True))
 
 
-def low_rank(u: np.ndarray, tile: np.ndarray, row: np.ndarray, col: np.ndarray, count: int) -> np.ndarray:
-    """The low-rank part at each reading. u: deviations in spreads; row and col: day and slot within its tile.
+def _held_over(x: np.ndarray) -> np.ndarray:
+    """x with each NaN replaced by what stands before it in its row, else by 0."""
+    at = np.where(np.isnan(x), 0, np.arange(1, x.shape[-1] + 1))
+    at = np.maximum.accumulate(at, axis=-1)
+    return np.where(at > 0, np.take_along_axis(x, np.maximum(at - 1, 0), -1), 0.0)
 
-    Start: the columns' medians over the days, where there are three or more, are the profile that all days share;
-    what is CANDIDATE or more off it is sparse. Then in turn: singular values of the rest beyond what noise gives make
-    the low-rank part, and the sparse part is taken again. Unseen cells are filled from the low-rank part. A tile of
-    one day has no behaviour that repeats, so its low-rank part is zero.
-    """
+
+def low_rank(u: np.ndarray, dev: np.ndarray, tile: np.ndarray, row: np.ndarray, col: np.ndarray, count: int) -> np.ndarray:
+    """The low-rank part at each reading. u: values less their day's level, and dev: deviations from the running
+    median, both in spreads; row and col: day and slot within its tile.
+
+    The search for it starts with the running median and, where there are three days or more, the median over the days
+    of the deviations from it; what is CANDIDATE or more off that is sparse. Then in turn: singular values of the rest
+    beyond what noise gives make the low-rank part, and the sparse part is taken again. Sparse and unseen cells are
+    filled from the low-rank part."""
     out = np.zeros(len(u))
     rows = np.zeros(count, np.int64)
     cols = np.zeros(count, np.int64)
@@ -114,7 +125,6 @@ def low_rank(u: np.ndarray, tile: np.ndarray, row: np.ndarray, col: np.ndarray,
     start = offsets(tile)
     of = tile[start[:-1]]
     order = np.argsort(rows[of] * 100_000 + cols[of], kind="stable")
-    order = order[rows[of][order] > 1]
     at = 0
     while at < len(order):
         r = rows[of[order[at:]]]
@@ -126,26 +136,35 @@ def low_rank(u: np.ndarray, tile: np.ndarray, row: np.ndarray, col: np.ndarray,
         n, k, m = len(some), int(r[0]), int(cols[of[some]].max())
         idx = np.concatenate([np.arange(start[i], start[i + 1]) for i in some])
         lane = np.repeat(np.arange(n), start[some + 1] - start[some])
-        x = np.full((n, k, m), np.nan)
-        x[lane, row[idx], col[idx]] = u[idx]
+        place = lane, row[idx], col[idx]
+        x, d = np.full((n, k, m), np.nan), np.full((n, k, m), np.nan)
+        x[place], d[place] = u[idx], dev[idx]
         seen = ~np.isnan(x)
         noise = 1.1 * (np.sqrt(k) + np.sqrt(np.maximum(1, seen.any(1).sum(1))))
+        low = _held_over(x - d)
         if k >= 3:
-            w = row_median(x.transpose(0, 2, 1).reshape(n * m, k)).reshape(n, 1, m)
-            low = np.where(seen.sum(1, keepdims=True) >= 3, np.nan_to_num(w), 0.0) * np.ones((1, k, 1))
-        else:
-            low = np.zeros((n, k, m))
-        for _ in range(6):
+            w = row_median(d.transpose(0, 2, 1).reshape(n * m, k)).reshape(n, 1, m)
+            low = low + np.where(seen.sum(1, keepdims=True) >= 3, np.nan_to_num(w), 0.0)
+        for _ in range(TURNS):
             rest = np.where(seen, x, low)
             clean = np.where(np.abs(rest - low) >= CANDIDATE, low, rest)
-            val, vec = np.linalg.eigh(clean @ clean.transpose(0, 2, 1))
+            # Products by einsum, as many tasks share a machine and BLAS would start threads in each.
+            val, vec = np.linalg.eigh(np.einsum("nkm,nlm->nkl", clean, clean))
             sigma = np.sqrt(np.maximum(val, 0))
-            kept = (sigma > noise[:, None]).astype(float)
-            low = (vec * kept[:, None, :]) @ (vec.transpose(0, 2, 1) @ clean)
-        out[idx] = low[lane, row[idx], col[idx]]
+            vec = vec * (sigma > noise[:, None])[:, None, :]
+            low = np.einsum("nkl,nlm->nkm", np.einsum("nkj,nlj->nkl", vec, vec), clean)
+        out[idx] = low[place]
     return out
 
 
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Length of the run of equal keys that each place is in."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+    return np.bincount(run)[run]
+
+
 def _side_levels(p: np.ndarray, good: np.ndarray, value: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Medians of up to SIDE good readings before and after each position p, in its tile; NaN if there is none."""
     j = np.searchsorted(good, p, "left")
@@ -162,26 +181,18 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     n_tiles = len(pdf)
     sizes = np.array([len(x) for x in pdf["ts"]])
     tile = np.repeat(np.arange(n_tiles), sizes)
-    flat = {c: np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("ts", "seq", "value", "ok", "copies", "home")}
-    order = np.lexsort((flat["seq"], flat["ts"], tile))
-    tile = tile[order]
-    ts, seq, value, ok, copies, home = (flat[c][order] for c in ("ts", "seq", "value", "ok", "copies", "home"))
-    value, ok, home = value.astype(float), ok.astype(bool), home.astype(bool)
+    flat = {c: np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("ts", "seq", "value", "ok", "copies", "finite", "home")}
+    order = np.lexsort((flat["ts"], tile))
+    pg = tile[order]
+    pt, seq, pv, pok, copies, finite, home = (flat[c][order] for c in ("ts", "seq", "value", "ok", "copies", "finite", "home"))
+    pv, pok, home = pv.astype(float), pok.astype(bool), home.astype(bool)
     counter = pdf["counter"].to_numpy(bool)
 
-    # Readings of one time are one point, that of the first one to be in range; repeats share its fate.
-    new = np.r_[True, (ts[1:] != ts[:-1]) | (tile[1:] != tile[:-1])] if len(ts) else np.array([], bool)
-    point = np.cumsum(new) - 1
-    rank = np.lexsort((seq, ~ok, point))
-    first = rank[np.r_[True, point[rank][1:] != point[rank][:-1]]] if len(rank) else rank
-    pt, pv, pg, pok = ts[first], value[first], tile[first], ok[first]
-
-    # Stuck runs: equal values at successive points; anything out of range breaks a run.
+    # Stuck runs: equal values at successive times; anything out of range breaks a run.
     same = np.r_[False, (pv[1:] == pv[:-1]) & (pg[1:] == pg[:-1]) & pok[1:] & pok[:-1]] if len(pv) else np.array([], bool)
-    run = np.cumsum(~same) - 1
-    stuck = np.bincount(run)[run] >= RUN if len(run) else same
+    stuck = _runs(np.cumsum(~same)) >= RUN
 
-    # Deviations of the points in range from their running median, in spreads of the tile.
+    # Deviations of the readings in range from their running median, in spreads of the tile.
     good = np.flatnonzero(pok)
     gv, gg = pv[good], pg[good]
     off = gv - running_median(gv, gg, HALF)
@@ -194,7 +205,6 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     least = np.where(np.isinf(least), 0, least)
     unit = np.where(counter, np.maximum(usual, least), np.maximum(spread, least / 2))
     unit = np.where(unit > 0, unit, 1e-9)
-    u = off / unit[gg]
 
     per_day, width, blocks, step_ms = (pdf[c].to_numpy(np.int64) for c in ("per_day", "width", "blocks", "step_ms"))
     slot = pt[good] // step_ms[gg]
@@ -202,7 +212,7 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     col = slot - day * per_day[gg]
     # A margin that reaches over midnight belongs to the day whose block it adjoins.
     low_col = np.full(n_tiles, np.iinfo(np.int64).max)
-    core = home[first][good]
+    core = home[good]
     block = np.full(n_tiles, -1)
     block[gg[core]] = (col // width[gg])[core]
     wide = blocks > 1
@@ -214,7 +224,16 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     np.minimum.at(low_col, gg, col)
     low_day = np.full(n_tiles, np.iinfo(np.int64).max)
     np.minimum.at(low_day, gg, day)
-    sparse = np.abs(u - low_rank(u, gg, day - low_day[gg], col - low_col[gg], n_tiles)) >= CANDIDATE
+    # The day's level: the median of its readings in the tile.
+    day = day - low_day[gg]
+    of_day = np.cumsum(np.r_[True, (gg[1:] != gg[:-1]) | (day[1:] != day[:-1])]) - 1 if len(gg) else gg
+    level = group_median(gv, of_day, int(of_day[-1]) + 1 if len(gg) else 0)[of_day]
+    with np.errstate(over="ignore", invalid="ignore"):
+        u, apart = (np.clip(np.nan_to_num(x / unit[gg]), -MOST, MOST) for x in (gv - level, off))
+    rest = u - low_rank(u, apart, gg, day, col - low_col[gg], n_tiles)
+    # Stretches of more than BURST readings off the same way are changes of behaviour, not sparse.
+    way = np.where(np.abs(rest) >= CANDIDATE, np.sign(rest), 0)
+    sparse = (way != 0) & (_runs(gg * 4 + way.astype(np.int64)) <= BURST)
 
     # Exact check of the candidates against both sides, in two rounds: what fails is unaffected in the second.
     hit = sparse.copy()
@@ -247,23 +266,17 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
 
     # Bursts of more than BURST successive hits are no spikes.
     strong = hit & (dev >= np.where(counter[gg], JUMP, SPIKE) * 0.5 * np.where(final > 0, final, 1e-9)[gg])
-    edge = np.r_[True, (strong[1:] != strong[:-1]) | (gg[1:] != gg[:-1])] if len(gg) else strong
-    burst = np.cumsum(edge) - 1
-    strong &= np.bincount(burst)[burst] <= BURST if len(burst) else strong
+    strong &= _runs(gg * 2 + strong) <= BURST
 
     spike_dev = np.zeros(len(pv))
     spike_dev[good[strong]] = dev[strong]
-    # A repeat with another value is a case only if it is off as well.
-    with np.errstate(invalid="ignore"):
-        apart = np.abs(value - pv[point]) if len(pv) else value
-    spike = home & ok & (spike_dev[point] > 0) & (apart <= 0.5 * spike_dev[point])
-    held = home & ok & stuck[point] & (apart <= SPIKE * final[tile])
+    spike, held = home & (spike_dev > 0), home & stuck
     name = pdf["entity"].to_numpy(object)
     frames = [
-        pd.DataFrame({"entity": name[tile[at]], "seq": seq[at], "ts": ts[at], "value": value[at], "kind": kind, "dev": spike_dev[point][at], "spread": np.nan, "n": copies[at]})
-        for at, kind in ((spike & ~counter[tile], "spike"), (spike & counter[tile], "jump"), (held, "run"))
+        pd.DataFrame({"entity": name[pg[at]], "seq": seq[at], "ts": pt[at], "value": pv[at], "kind": kind, "dev": spike_dev[at], "spread": final[pg[at]], "n": copies[at]})
+        for at, kind in ((spike & ~counter[pg], "spike"), (spike & counter[pg], "jump"), (held, "run"))
     ]
-    whole = np.bincount(tile, np.where(np.isfinite(value) & home, copies, 0), n_tiles).astype(np.int64)
+    whole = np.bincount(pg, np.where(home, finite, 0), n_tiles).astype(np.int64)
     frames.append(pd.DataFrame({"entity": name, "seq": 0, "ts": 0, "value": np.nan, "kind": "tile", "dev": np.nan, "spread": final, "n": whole}))
     return pd.concat(frames, ignore_index=True)
 
@@ -278,13 +291,18 @@ def implausible(rows: DataFrame) -> DataFrame:
     of RUN or more successive equal values. Readings of one time count as one, the first to be in range; a repeat that
     deviates alike is flagged with it. No spikes or runs for held sources and those with fewer than FEWEST finite
     readings, nor a spike without readings on both sides. No rows, no result."""
-    live = rows.where(F.col("entity").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull() & (F.col("step_ms") > 0))
     v = F.col("value")
     out_of = F.isnan(v) | (F.abs(v) == float("inf")) | F.coalesce(v < F.col("lo"), F.lit(False)) | F.coalesce(v > F.col("hi"), F.lit(False))
-    ranged = live.where(out_of).select("entity", "seq", F.lit("range").alias("kind"))
-    # Equal rows are one reading with copies, so that a tile doesn't grow with them.
-    tested = live.where(~F.coalesce("held", F.lit(False))).withColumn("ok", ~out_of)
-    once = tested.groupBy("entity", "ts", "value").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("copies"), F.min("ok").alias("ok"), F.min("step_ms").cast("bigint").alias("step_ms"), F.coalesce(F.max("counter"), F.lit(False)).alias("counter"))
+    live = rows.where(F.col("entity").isNotNull() & F.col("ts").isNotNull() & v.isNotNull() & (F.col("step_ms") > 0))
+    live = cut(live.select("entity", "seq", "ts", "value", F.col("step_ms").cast("bigint").alias("step_ms"), F.coalesce("counter", F.lit(False)).alias("counter"), F.coalesce("held", F.lit(False)).alias("held"), (~out_of).alias("ok")), "rows")
+    ranged = live.where(~F.col("ok")).select("entity", "seq", F.lit("range").alias("kind"))
+    # Rows of one time are one reading, that of the first one to be in range, so that a tile doesn't grow with them.
+    tested = live.where(~F.col("held")).drop("held")
+    okay = lambda c: F.when(F.col("ok"), F.col(c))
+    once = tested.groupBy("entity", "ts").agg(
+        F.coalesce(F.min(okay("seq")), F.min("seq")).alias("seq"), F.coalesce(F.min_by("value", okay("seq")), F.min_by("value", "seq")).alias("value"), F.max("ok").alias("ok"),
+        F.count(F.lit(1)).alias("copies"), F.count(F.when(~F.isnan(v) & (F.abs(v) < float("inf")), 1)).alias("finite"), F.min("step_ms").alias("step_ms"), F.max("counter").alias("counter"),
+    )
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -295,7 +313,10 @@ def implausible(rows: DataFrame) -> DataFrame:
     whole = flags.where(F.col("kind") == "tile").groupBy("entity").agg((F.sum(F.col("spread") * F.col("n")) / F.sum("n")).alias("usual"), F.sum("n").alias("readings"))
     factor = F.when(F.col("kind") == "jump", F.lit(JUMP)).otherwise(F.lit(SPIKE))
     judged = flags.where(F.col("kind") != "tile").join(whole, "entity").where((F.col("readings") >= FEWEST) & ((F.col("kind") == "run") | (F.col("dev") >= factor * F.col("usual"))))
-    sure = judged.select("entity", "seq", "ts", "value", F.when(F.col("kind") == "run", "run").otherwise("spike").alias("kind"), "n")
-    copied = cut(sure.where(F.col("n") > 1).select("entity", "ts", "value", "kind"), "copied").join(tested.select("entity", "ts", "value", "seq"), ["entity", "ts", "value"])
+    # A repeat with another value is a case only if it is off as well.
+    near = F.when(F.col("kind") == "run", SPIKE * F.col("spread")).otherwise(0.5 * F.col("dev"))
+    sure = judged.select("entity", "seq", "ts", "value", F.when(F.col("kind") == "run", "run").otherwise("spike").alias("kind"), near.alias("near"), "n")
+    several = cut(sure.where(F.col("n") > 1).select("entity", "ts", F.col("value").alias("point"), "kind", "near"), "copied")
+    copied = several.join(tested.where("ok").select("entity", "ts", "value", "seq"), ["entity", "ts"]).where(F.abs(F.col("value") - F.col("point")) <= F.col("near"))
     columns = ("entity", "seq", "kind")
     return ranged.unionByName(sure.where(F.col("n") == 1).select(*columns)).unionByName(copied.select(*columns))

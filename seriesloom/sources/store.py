@@ -27,7 +27,8 @@ def finite(rows: DataFrame) -> DataFrame:
 def named(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with `metric`: the row's own name, else the one that other rows of its stream have, else null. Only the
     nameless rows are joined, to one row per stream."""
-    names = rows.where(F.col("name").isNotNull()).groupBy("stream_id").agg(F.min("name").alias("metric"))
+    # Distinct names first, which needs no order: the least of texts is a sort, over few rows then.
+    names = rows.where(F.col("name").isNotNull()).select("stream_id", "name").distinct().groupBy("stream_id").agg(F.min("name").alias("metric"))
     own = rows.where(F.col("name").isNotNull()).select(*columns, F.col("name").alias("metric"))
     return own.unionByName(rows.where(F.col("name").isNull()).select(*columns).join(names, "stream_id", "left"))
 

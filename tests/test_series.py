@@ -218,6 +218,19 @@ def test_normal_daily_behaviour_is_no_spike(spark):
     assert isinstance(got, pd.DataFrame) and got["seq"].tolist() == [1000]
 
 
+def test_low_rank_part_decides(monkeypatch):
+    """What the low-rank part doesn't explain is a candidate: without it, daily behaviour drowns the spikes."""
+    from seriesloom.operators import spikes
+
+    t, v = readings(7 * 1440, 4)
+    v[[1500, 4321, 4322, 9000]] += 12
+    one = {"entity": "a", "step_ms": 60_000, "counter": False, "per_day": 1440, "blocks": 1, "width": 1440, "ts": t, "seq": np.arange(len(t)), "value": v, "ok": np.ones(len(t), bool), "copies": np.ones(len(t), int), "finite": np.ones(len(t), int), "home": np.ones(len(t), bool)}
+    found = lambda: spikes._judge(pd.DataFrame([one])).query("kind == 'spike' and dev >= 8 * spread")["seq"].tolist()
+    assert found() == [1500, 4321, 4322, 9000]
+    monkeypatch.setattr(spikes, "low_rank", lambda u, *_: np.zeros(len(u)))
+    assert len(found()) < 4
+
+
 def test_copies_count_once(spark):
     """Many copies of a row are one reading, and all of them cases with it; more readings than slots are no matter."""
     t, v = readings(3000, 8, 1000)
@@ -254,7 +267,7 @@ def test_crowded_tiles_are_split(spark, monkeypatch):
     w[100] += 30
     want = {("spike", "a", i) for i in at} | {("run", "a", i) for i in range(2494, 2506)} | {("spike", "b", 100)}
     assert flagged(spark, [("a", t, v, False, False), ("b", slow, w, False, False)]) == want
-    once = spark.createDataFrame([("a", i, int(x), float(y), True, 1, 60_000, False) for i, (x, y) in enumerate(zip(t, v))], "entity string, seq bigint, ts bigint, value double, ok boolean, copies bigint, step_ms bigint, counter boolean")
+    once = spark.createDataFrame([("a", i, int(x), float(y), True, 1, 1, 60_000, False) for i, (x, y) in enumerate(zip(t, v))], "entity string, seq bigint, ts bigint, value double, ok boolean, copies bigint, finite bigint, step_ms bigint, counter boolean")
     got = spikes.tiles(once).select("seq", "home").collect()
     assert len(got) > 5 and max(len(r["seq"]) for r in got) <= 1000
     assert sorted(s for r in got for s, h in zip(r["seq"], r["home"]) if h) == list(range(6000))
