@@ -223,12 +223,13 @@ def test_low_rank_part_decides(monkeypatch):
     from seriesloom.operators import spikes
 
     t, v = readings(7 * 1440, 4)
-    v[[1500, 4321, 4322, 9000]] += 12
+    at = np.flatnonzero(v > 53)[[500, 1200, 1201, 2000]].tolist()  # at the height of the day
+    v[at] += 12
     one = {"entity": "a", "step_ms": 60_000, "counter": False, "per_day": 1440, "blocks": 1, "width": 1440, "ts": t, "seq": np.arange(len(t)), "value": v, "ok": np.ones(len(t), bool), "copies": np.ones(len(t), int), "finite": np.ones(len(t), int), "home": np.ones(len(t), bool)}
     found = lambda: spikes._judge(pd.DataFrame([one])).query("kind == 'spike' and dev >= 8 * spread")["seq"].tolist()
-    assert found() == [1500, 4321, 4322, 9000]
+    assert found() == at
     monkeypatch.setattr(spikes, "low_rank", lambda u, *_: np.zeros(len(u)))
-    assert len(found()) < 4
+    assert found() == []
 
 
 def test_copies_count_once(spark):
