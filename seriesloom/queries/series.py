@@ -8,7 +8,7 @@ from ..functions.keys import canonical_file, canonical_id
 from ..operators.grid import regular
 from ..operators.intervals import periods_and_gaps
 from ..operators.orphans import json_elements, orphans
-from ..operators.rolling import RollingState, rolling_totals
+from ..operators.rolling import rolling_totals
 from ..operators.spikes import implausible
 from .keys_sql import cfile, cid
 from ..sources.store import named, plausible, readings
@@ -73,20 +73,26 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
 
 # Problem 5
 
+#: A double times this, less the difference of that and the double, is the double in 31 bits.
+SPLIT = float(2**22 + 1)
+
 
 def p5_rolling(spark: SparkSession, d: str) -> DataFrame:
-    return rolling_totals(readings(spark, d), "stream_id", "ts", "value").withColumnRenamed("entity", "stream_id")
+    """Three versions: what had arrived a week before the last arrival, that week but for its last day, and that day."""
+    rows = readings(spark, d, "received_at")
+    last = read(spark, d, "samples").agg(F.max("received_at")).first()[0]
+    at = F.coalesce(F.col("received_at") <= F.lit(last) - F.expr("INTERVAL 7 DAYS"), F.lit(True)), F.coalesce(F.col("received_at") <= F.lit(last) - F.expr("INTERVAL 1 DAY"), F.lit(True))
+    batches = [rows.where(at[0]), rows.where(~at[0] & at[1]), rows.where(~at[1])]
+    return rolling_totals(batches, "stream_id", "ts", "value").withColumnRenamed("entity", "stream_id")
 
 
 def p5_versions(spark: SparkSession, d: str) -> DataFrame:
-    """The same in three versions by arrival: the second and third bring new days and corrections of old ones."""
-    rows = read(spark, d, "samples")
-    kept = readings(spark, d).join(rows.select("seq", F.coalesce(F.pmod(F.datediff(F.to_date("received_at"), F.lit("2018-01-01")), F.lit(3)), F.lit(0)).alias("part")), "seq")
-    parts = [kept.where(F.col("part") == i).select(F.col("stream_id").alias("entity"), "ts", "value") for i in range(3)]
-    s = RollingState.empty(spark)
-    for p in parts:
-        s = s.advance(p).written()
-    return s.report().withColumnRenamed("entity", "stream_id")
+    """The same after versions that each correct dates all over the history: the rows by the day of arrival in turn.
+    Amounts are rounded to 31 bits, so that they don't show in what order a sum was taken."""
+    rows = readings(spark, d, "received_at").withColumn("part", F.coalesce(F.pmod(F.datediff(F.to_date("received_at"), F.lit("2018-01-01")), F.lit(3)), F.lit(0)))
+    got = rolling_totals([rows.where(F.col("part") == i) for i in range(3)], "stream_id", "ts", "value").withColumnRenamed("entity", "stream_id")
+    coarse = lambda c: (F.col(c) * F.lit(SPLIT) - (F.col(c) * F.lit(SPLIT) - F.col(c))).alias(c)
+    return got.select(*(coarse(c) if c[:3] in ("sum", "avg") else c for c in got.columns))
 
 
 # Problem 6
@@ -125,13 +131,22 @@ m AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDE
     rows = "r AS (SELECT * FROM samples WHERE stream_id IS NOT NULL AND ts >= 1514764800000 AND ts < 1798761600000 AND value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value))"
     names = "n AS (SELECT stream_id, min(name) AS metric FROM samples WHERE stream_id IS NOT NULL AND value IS NOT NULL AND ts >= 1514764800000 AND ts < 1798761600000 GROUP BY ALL)"
     day = "SELECT DISTINCT stream_id, ts, value FROM r"
-    frame = lambda f, w: f"{f} OVER (PARTITION BY stream_id ORDER BY day ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-    total = lambda w: f"(CAST(coalesce({frame('sum(s)', w)}, 0) AS DOUBLE) + coalesce({frame('sum(h)', w)}, 0))"
-    per = ", ".join(f"{total(w)} AS sum_{w}, {total(w)} / {frame('sum(n)', w)} AS avg_{w}, CAST(coalesce({frame('sum(n)', w)}, 0) AS BIGINT) AS n_{w}" for w in (7, 30))
-    rolling = f"""WITH {rows}, d AS (SELECT stream_id, ts // 86400000 AS day, sum(CASE WHEN abs(value) < 1e20 THEN TRY_CAST(value AS DECIMAL(38,9)) END) AS s, sum(CASE WHEN abs(value) >= 1e20 THEN value END) AS h, count(*) AS n FROM ({day}) GROUP BY ALL),
-b AS (SELECT stream_id, unnest(range(min(day), max(day) + 1)) AS day FROM d GROUP BY stream_id),
-g AS (SELECT b.stream_id, b.day, s, h, n FROM b LEFT JOIN d ON b.stream_id = d.stream_id AND b.day = d.day)
-SELECT stream_id, DATE '1970-01-01' + CAST(day AS INTEGER) AS day, {per} FROM g"""
+    span = "b AS (SELECT stream_id, unnest(range(min(day), max(day) + 1)) AS day FROM d GROUP BY stream_id)"
+    frame = lambda f, w, by="": f"{f} OVER (PARTITION BY stream_id{by} ORDER BY day ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    # Exact, in whole numbers of units by the size of the value; each period is summed anew.
+    both = ", ".join(f"sum(CAST(s_{w} AS DOUBLE) * pow(2, 16 * lane) * pow(2, 16 * lane)) AS sum_{w}, CAST(sum(n_{w}) AS BIGINT) AS n_{w}" for w in (7, 30))
+    exact = f"""WITH {rows}, u AS (SELECT stream_id, ts // 86400000 AS day, value, CASE WHEN value = 0 THEN 0 ELSE greatest(-34, CAST(floor((floor(log2(abs(value))) - 53) / 32) AS INT)) END AS lane FROM ({day})),
+d AS (SELECT stream_id, day, lane, sum(CAST(value * pow(2, -16 * lane) * pow(2, -16 * lane) AS HUGEINT)) AS s, count(*) AS n FROM u GROUP BY ALL), {span},
+g AS (SELECT b.stream_id, b.day, l.lane, CAST(s AS HUGEINT) AS s, n FROM b JOIN (SELECT DISTINCT stream_id, lane FROM d) l ON b.stream_id = l.stream_id LEFT JOIN d ON b.stream_id = d.stream_id AND b.day = d.day AND l.lane = d.lane),
+w AS (SELECT stream_id, day, lane, {', '.join(f"coalesce({frame('sum(s)', w, ', lane')}, 0) AS s_{w}, coalesce({frame('sum(n)', w, ', lane')}, 0) AS n_{w}" for w in (7, 30))} FROM g),
+t AS (SELECT stream_id, day, {both} FROM w GROUP BY ALL)
+SELECT stream_id, DATE '1970-01-01' + CAST(day AS INTEGER) AS day, {', '.join(f"sum_{w}, sum_{w} / nullif(n_{w}, 0) AS avg_{w}, n_{w}" for w in (7, 30))} FROM t"""
+    # Plain sums of doubles, rounded as in the query.
+    coarse = lambda x: f"({x}) * {SPLIT} - (({x}) * {SPLIT} - ({x}))"
+    plain = f"""WITH {rows}, d AS (SELECT stream_id, ts // 86400000 AS day, fsum(value) AS s, count(*) AS n FROM ({day}) GROUP BY ALL), {span},
+g AS (SELECT b.stream_id, b.day, s, n FROM b LEFT JOIN d ON b.stream_id = d.stream_id AND b.day = d.day),
+w AS (SELECT stream_id, day, {', '.join(f"coalesce({frame('fsum(s)', w)}, 0) AS s_{w}, coalesce({frame('sum(n)', w)}, 0) AS n_{w}" for w in (7, 30))} FROM g)
+SELECT stream_id, DATE '1970-01-01' + CAST(day AS INTEGER) AS day, {', '.join(f"{coarse(f's_{w}')} AS sum_{w}, {coarse(f's_{w} / nullif(n_{w}, 0)')} AS avg_{w}, CAST(n_{w} AS BIGINT) AS n_{w}" for w in (7, 30))} FROM w"""
     refs = f"""e AS (SELECT unnest(from_json(CASE WHEN json_valid(ids) AND json_type(ids) = 'ARRAY' THEN ids ELSE '[]' END, '["VARCHAR"]')) AS e, recorded_at FROM stream_to_ids),
 refs AS (SELECT 'id_to_file' AS ref_table, 'id' AS ref_field, {cid('id')} AS k, registered_at AS tm FROM id_to_file UNION ALL SELECT 'id_to_file', 'filename', {cfile('filename')}, registered_at FROM id_to_file UNION ALL SELECT 'stream_to_ids', 'ids', {cid('e')}, recorded_at FROM e),
 parents AS (SELECT 'f' AS kind, {cfile('filename')} AS k, written_at AS made, removed_at AS gone FROM file_header UNION ALL SELECT 's', {cid('stream_id')}, created_at, deleted_at FROM streams),
@@ -141,8 +156,8 @@ j AS (SELECT ref_table, ref_field, r.k AS ref_value, strftime(tm, '%Y-%m') AS pe
         "p1_found": f"WITH {names}, {known}, s AS (SELECT DISTINCT stream_id, step_ms, ts // step_ms AS slot FROM k WHERE NOT isnan(value) AND NOT isinf(value)), g AS (SELECT stream_id, any_value(step_ms) AS step_ms, unnest(range(min(slot), max(slot) + 1)) AS slot FROM s GROUP BY stream_id) SELECT stream_id, slot * step_ms AS slot_ts FROM g ANTI JOIN s USING (stream_id, slot)",
         "p3_found": f"WITH {covered} SELECT id, before + 1 AS gap_start, s - 1 AS gap_end FROM m WHERE before IS NOT NULL AND before < 9223372036854775807 AND s > before + 1",
         "p3_periods": f"WITH {covered}, i AS (SELECT *, sum(CASE WHEN before IS NULL OR (before < 9223372036854775807 AND s > before + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT id, min(s) AS period_start, nullif(max(e), 9223372036854775807) AS period_end FROM i GROUP BY id, island",
-        "p5_rolling": rolling,
-        "p5_versions": rolling,
+        "p5_rolling": exact,
+        "p5_versions": plain,
         "p6_found": f"WITH {refs} SELECT DISTINCT ref_table, ref_field, ref_value, period FROM j WHERE why IS NOT NULL",
         "p6_report": f"WITH {refs}, o AS (SELECT ref_table, ref_field, ref_value, period, min(why) AS why FROM j GROUP BY ALL), t AS (SELECT ref_table, ref_field, ref_value, period, count(*) AS n FROM j GROUP BY ALL) SELECT ref_table, ref_field, period, CASE why WHEN 1 THEN 'missing' WHEN 2 THEN 'gone' ELSE 'later' END AS reason, count(*) AS keys, CAST(sum(n) AS BIGINT) AS n_references FROM o JOIN t USING (ref_table, ref_field, ref_value, period) WHERE why IS NOT NULL GROUP BY ALL",
     }

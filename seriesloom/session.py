@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             tables = spark.conf.get("spark.sql.warehouse.dir")
-            if "://" not in tables:
+            if "://" not in tables or tables.startswith("file:"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             return f"{tables.rstrip('/')}/_seriesloom"
         where = tempfile.mkdtemp(prefix="seriesloom-")
@@ -48,14 +48,33 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: What this process has put into the shared folder.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is there goes with `release`, at the latest when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Remove all tables that `cut` wrote. Results that were computed from them and not yet written can't be read any
+    more, so a long session calls this between its jobs."""
+    while _made:
+        _drop(*_made.pop())
+
+
+atexit.register(release)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later steps neither recompute it nor depend
-    on any one executor. The table goes when the process ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    on any one executor."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

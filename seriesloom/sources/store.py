@@ -11,12 +11,12 @@ from ..session import spread
 FIRST_MS, LAST_MS = 1_514_764_800_000, 1_798_761_600_000
 
 
-def plausible(samples: DataFrame) -> DataFrame:
-    """(seq, stream_id, name, ts, value) of the rows with a stream, a plausible ts and a value, NaN and infinities
+def plausible(samples: DataFrame, *also: str) -> DataFrame:
+    """(seq, stream_id, name, ts, value, and the columns in `also`) of the rows with a stream, a plausible ts and a value, NaN and infinities
     included. Stream ids are canonical."""
     keep = F.col("stream_id").isNotNull() & F.col("value").isNotNull() & (F.col("ts") >= FIRST_MS) & (F.col("ts") < LAST_MS)
-    rows = spread(samples.where(keep).select("seq", "stream_id", "name", "ts", "value"))
-    return rows.select("seq", canonical_id(F.col("stream_id")).alias("stream_id"), "name", "ts", "value")
+    rows = spread(samples.where(keep).select("seq", "stream_id", "name", "ts", "value", *also))
+    return rows.select("seq", canonical_id(F.col("stream_id")).alias("stream_id"), "name", "ts", "value", *also)
 
 
 def finite(rows: DataFrame) -> DataFrame:
@@ -39,5 +39,5 @@ def with_catalog(rows: DataFrame, catalog: DataFrame, fields: tuple[str, ...] =
     return rows.join(catalog.select(F.col("name").alias("metric"), *fields), "metric")
 
 
-def readings(spark: SparkSession, d: str) -> DataFrame:
-    return finite(plausible(spark.read.parquet(f"{d}/samples.parquet")))
+def readings(spark: SparkSession, d: str, *also: str) -> DataFrame:
+    return finite(plausible(spark.read.parquet(f"{d}/samples.parquet"), *also))

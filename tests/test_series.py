@@ -89,27 +89,45 @@ def same_rolling(df, want):
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g[:2] == w[:2] and [x is None for x in g] == [x is None for x in w]
-        assert [x or 0.0 for x in g[2:]] == pytest.approx([x or 0.0 for x in w[2:]], rel=1e-9, abs=1e-6)
+        assert [x or 0.0 for x in g[2:]] == pytest.approx([x or 0.0 for x in w[2:]], rel=1e-15, abs=0)
 
 
-def test_rolling(spark):
+def test_rolling(spark, tmp_path):
     rng = random.Random(2)
     data = [(rng.choice("ab"), rng.choice([0, 3, 4, 20, 21, 60, 61]) * DAY + rng.randrange(DAY), round(rng.uniform(-9, 9), 4)) for _ in range(60)]
     data += [("h", 5 * DAY, 3.4e38), ("h", 6 * DAY, 1.5), ("h", 30 * DAY, 2.5), ("h", 36 * DAY, -1.0)]
+    data += [("s", 1 * DAY, 1e-12), ("s", 2 * DAY, 5e-324), ("s", 3 * DAY, 1.7e308), ("s", 10 * DAY, 3e-12), ("s", 40 * DAY, 0.0), ("s", 41 * DAY, -0.0)]
     schema = "entity string, ts bigint, value double, day string"
     make = lambda x: spark.createDataFrame([(*r, "x") for r in x], schema)
     junk = [(None, 1, 1.0), ("a", None, 1.0), ("a", 1, None), ("a", 99 * DAY, math.nan), ("a", 99 * DAY, math.inf)]
-    want = brute_rolling(data, (7, 30))
-    same_rolling(rolling_totals(make(data + data[:9] + junk), "entity", "ts", "value"), want)
+    total = lambda *parts: rolling_totals([make(p) for p in parts], "entity", "ts", "value")
+    same_rolling(total(data + data[:9] + junk), brute_rolling(data, (7, 30)))
     # Corrections, repeats and new days in later versions, before the first day and far after the last, too.
     rng.shuffle(data)
-    late = [("a", -40 * DAY, 2.0), ("b", 200 * DAY, 4.0), ("new", 7 * DAY, 1.0), ("a", 61 * DAY + 5, 7.0)]
+    late = [("a", -40 * DAY, 2.0), ("b", 200 * DAY, 4.0), ("new", 7 * DAY, 1.0), ("a", 61 * DAY + 5, 7.0), ("a", 61 * DAY + 6, 7e30)]
     parts = [data[:30], data[20:50] + late, data[50:] + late[:2]]
-    same_rolling(rolling_totals(make(parts[0]), "entity", "ts", "value", batches=[make(p) for p in parts[1:]]), brute_rolling(data + late, (7, 30)))
-    state = RollingState.empty(spark).advance(make(data)).written()
-    again = state.advance(make(data[:5]))
-    assert again.version == 2 and rows(again.rolling) == rows(state.rolling)
-    assert rows(rolling_totals(make([]), "entity", "ts", "value")) == []
+    same_rolling(total(*parts), brute_rolling(data + late, (7, 30)))
+    assert rows(total([])) == [] and len(rows(total([], data[:3], []))) == len(brute_rolling(data[:3], (7, 30)))
+
+
+def test_versions_write_only_what_is_new(spark, tmp_path):
+    make = lambda x: spark.createDataFrame(x, "entity string, ts bigint, value double")
+    state = RollingState(spark, str(tmp_path / "state"))
+    assert RollingState.open(spark, state.path).version == 0
+    first = state.advance(make([(e, d * DAY, 1.0) for e in "abc" for d in range(50)]))
+    second = first.advance(make([("a", 50 * DAY, 5.0), ("b", 49 * DAY + 1, 2.0), ("c", 3 * DAY, 1.0)]))
+    written = lambda name: sorted((r["entity"], r["day"]) for r in second._read(name, 2).collect())
+    assert written("seen") == [("a", 50), ("b", 49)] and written("rolling") == [("a", 50), ("b", 49)]
+    again = RollingState.open(spark, state.path)
+    assert again.version == 2 and rows(again.report()) == rows(second.report())
+    third = again.advance(make([("a", 50 * DAY, 5.0)]))
+    assert third.version == 3 and rows(third.report()) == rows(second.report())
+    got = {(r["entity"], str(r["day"])): (r["sum_7"], r["n_30"]) for r in third.report().collect()}
+    assert got["a", "1970-02-20"] == (11.0, 30) and got["b", "1970-02-19"] == (9.0, 31)
+    # A version that stopped before its end is none, and is written over.
+    third._write("rolling", third._read("rolling", 1).drop("version"))
+    assert RollingState.open(spark, state.path).version == 3
+    assert third.advance(make([("a", 51 * DAY, 1.0)])).report().count() == third.report().count() + 1
 
 
 # --- orphans
