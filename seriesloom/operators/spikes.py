@@ -298,11 +298,10 @@ def implausible(rows: DataFrame) -> DataFrame:
     ranged = live.where(~F.col("ok")).select("entity", "seq", F.lit("range").alias("kind"))
     # Rows of one time are one reading, that of the first one to be in range, so that a tile doesn't grow with them.
     tested = live.where(~F.col("held")).drop("held")
-    okay = lambda c: F.when(F.col("ok"), F.col(c))
-    once = tested.groupBy("entity", "ts").agg(
-        F.coalesce(F.min(okay("seq")), F.min("seq")).alias("seq"), F.coalesce(F.min_by("value", okay("seq")), F.min_by("value", "seq")).alias("value"), F.max("ok").alias("ok"),
-        F.count(F.lit(1)).alias("copies"), F.count(F.when(~F.isnan(v) & (F.abs(v) < float("inf")), 1)).alias("finite"), F.min("step_ms").alias("step_ms"), F.max("counter").alias("counter"),
-    )
+    # A time with none in range has no seq and value of its own, as it is never a spike or part of a run.
+    seq = F.when(F.col("ok"), F.col("seq"))
+    once = tested.groupBy("entity", "ts").agg(F.min(seq).alias("s"), F.min_by("value", seq).alias("v"), F.count(F.lit(1)).alias("copies"), F.count(F.when(~F.isnan(v) & (F.abs(v) < float("inf")), 1)).alias("finite"), F.min("step_ms").alias("step_ms"), F.max("counter").alias("counter"))
+    once = once.select("entity", F.coalesce("s", F.lit(0)).alias("seq"), "ts", F.coalesce("v", F.lit(float("nan"))).alias("value"), F.col("s").isNotNull().alias("ok"), "copies", "finite", "step_ms", "counter")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
