@@ -9,7 +9,7 @@ item is a pattern; the first `least` bytes of the patterns (the length of the sh
 - HASH: patterns in the order of the hash of the block at their window's end, where the shift is 0; those of the same
   hash are compared directly.
 
-Patterns are places in the items' text, so a lot of items takes about eight times its text, whatever its overlaps.
+Patterns are places in the items' text, so a lot of items takes about nine times its text, whatever its overlaps.
 
 Documents advance side by side: a step looks at one block of each segment of SEGMENT bytes and moves its window on.
 Segments only divide the places where a window may end; comparisons read across them.
@@ -75,13 +75,14 @@ class Patterns:
         if not len(self.start):
             return
         m, b = self.least, self.block
-        blocks = np.unique(np.concatenate([self.hashes(buf, self.start + end) for end in range(b, m + 1)]))
-        self.bits = int(np.clip(np.ceil(np.log2(4 * len(blocks))), LEAST_BITS, MOST_BITS))
-        self.shift = np.full(2**self.bits, m - b + 1, np.int32)
-        for end in range(b, m + 1):  # later places last: they give the smaller shifts
-            h = self.hashes(buf, self.start + end) >> np.uint64(64 - self.bits)
-            np.minimum.at(self.shift, h.astype(np.int64), m - end)
-        last = self.hashes(buf, self.start + m)
+        every = np.zeros(len(buf) + 1, np.uint64)  # of the block before each place in the items' text
+        every[b:] = self.hashes(buf, np.arange(b, len(buf) + 1))
+        self.bits = int(np.clip(np.ceil(np.log2(4 * len(np.unique(every)))), LEAST_BITS, MOST_BITS))
+        slot = (every >> np.uint64(64 - self.bits)).astype(np.int32)
+        self.shift = np.full(2**self.bits, m - b + 1, np.uint8 if m - b < 255 else np.int32)
+        for end in range(b, m + 1):  # later places give smaller shifts and replace those before
+            self.shift[slot[self.start + end]] = m - end
+        last = every[self.start + m]
         order = np.argsort(last, kind="stable")
         self.last = last[order]
         self.start, self.size, self.item = self.start[order].astype(np.int32), self.size[order].astype(np.int32), self.item[order].astype(np.int32)
@@ -122,7 +123,7 @@ class Patterns:
                     n, s = int(self.size[p]), int(self.start[p])
                     if start + n <= limit and whole[start : start + n] == self.text[s : s + n]:
                         hits.add((int(text[i]), int(self.item[p])))
-            at = at + np.maximum(step, 1)
+            at = at + np.maximum(step, 1).astype(np.int64)
             live = at < stop
             if not live.all():
                 at, stop, text = at[live], stop[live], text[live]
