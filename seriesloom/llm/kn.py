@@ -2,7 +2,8 @@
 
 A character is one of CLASSES byte classes: ASCII in lower case, digits alike, other UTF-8 bytes folded. For each order the
 n-grams that any language has seen are kept as sorted hashes with one row of log-probabilities, a column per language;
-the rows already hold the interpolation with the lower orders. An n-gram that no language has seen falls back to the
+the rows already hold the interpolation with the lower orders, the lowest of which, single classes, is the same for all
+languages. An n-gram that no language has seen falls back to the
 next order plus its context's weight, as interpolation prescribes. A table of the hashes' leading bits narrows the
 binary search to a few places.
 """
@@ -14,9 +15,6 @@ import re
 import numpy as np
 
 CLASSES, BITS, ORDER = 128, 7, 5
-#: N-grams of up to this order are counted over all languages together: what no model knows costs all of them the same,
-#: so that unusual text doesn't fall to the language with the poorest model.
-POOLED = 3
 #: An odd number, so that multiplying by it gives each code another hash.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PIECE = 400_000
@@ -132,8 +130,6 @@ class Model:
             c = np.zeros((len(seen), k))
             for i, (g, m) in enumerate(counts[n]):
                 c[np.searchsorted(seen, g), i] = m
-            if n <= POOLED:
-                c[:] = c.sum(1, keepdims=True)
             contexts, of = np.unique(seen >> np.uint64(BITS), return_inverse=True)
             first = np.searchsorted(of, np.arange(len(contexts)))
             total, kinds = np.add.reduceat(c, first, 0), np.add.reduceat((c > 0).astype(float), first, 0)

@@ -4,8 +4,9 @@ Models are trained on a bounded sample of labelled documents: PER_LANGUAGE of ea
 id. As labels may be wrong and texts mixed, the sample is cleaned first: what models of one half of it read in the
 other half as another language than the label is left out. Every line is scored by all models; the most likely sequence of languages, where
 each change costs SWITCH nats, makes the segments. A segment's language is the one of the lowest cross-entropy per
-byte; it is rejected (null) where that lies beyond what held-out documents of the language need, and its confidence
-comes from the margin over the other languages, on a scale that held-out documents set.
+byte. Documents that were held out, and pieces of them of a few lines and of one, calibrate two things by length: a
+segment is rejected (null) where its cross-entropy lies beyond what all but a share of REFUSED of such pieces need, and
+its confidence comes from the margins over the other languages, on a scale that makes the pieces' languages most likely.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ SWITCH = 18.0
 #: Times that the sample is cleaned of what its labels don't fit.
 ROUNDS = 2
 SHARE, LETTERS = 0.2, 40
-#: Held-out documents' worst cross-entropy times this is the limit of what is accepted.
-SLACK = 3.0
+#: Lines of the pieces of held-out documents that calibrate; 0 for the whole document.
+PIECES = (1, 4, 0)
+#: Share of held-out pieces of a length that may be refused, and the lengths in bytes that limits are told apart by.
+REFUSED, LENGTHS = 0.0002, (0, 64, 512)
 BATCH_BYTES = 2_000_000
 
 SEGMENTS = "segment int, first_line int, last_line int, lang_found string, confidence double, share double"
@@ -70,7 +73,7 @@ class Identifier:
         texts = [encode(lines_of(t)) for _, t in sample]
         held = np.arange(len(texts)) % 5 == 4
         parts, fits = texts, np.ones(len(texts), bool)
-        for _ in range(ROUNDS):  # each half is read by models of the other, so that no text vouches for itself
+        for _ in range(ROUNDS):  # each half is read by models of the other, so that no document vouches for itself
             main, cleaned = np.zeros(len(texts), np.int64), list(texts)
             for half in (0, 1):
                 mine = np.arange(len(texts)) % 2 == half
@@ -81,20 +84,61 @@ class Identifier:
                     cleaned[i] = t
             parts, fits = cleaned, main == label
         self.model = self._learn(parts, texts, label, fits & ~held)
-        self.limit = np.full(len(self.languages), np.inf)
-        self.scale = 1.0
-        proof = [i for i in np.flatnonzero(held & fits) if len(parts[i]) >= 40]
-        if proof:
-            scores, lengths, lines = self.model.line_scores([parts[i] for i in proof])
-            first = np.r_[0, np.cumsum(lines)[:-1]]
-            cost = -np.add.reduceat(scores, first, 0) / np.maximum(1, np.add.reduceat(lengths, first))[:, None]
-            own = cost[np.arange(len(proof)), label[proof]]
-            for i in range(len(self.languages)):
-                mine = own[label[proof] == i]
-                self.limit[i] = SLACK * (mine.max() if len(mine) >= 3 else own.max())
-            # The scale under which the held-out documents' languages are most likely, without being sure of any.
-            grid = 2.0 ** np.arange(-2, 8)
-            self.scale = float(max(grid, key=lambda g: np.log(0.001 + 0.998 * self._soft(cost, g)[np.arange(len(proof)), label[proof]]).sum()))
+        self._calibrate([parts[i] for i in np.flatnonzero(held & fits)], label[held & fits])
+
+    def _calibrate(self, texts: list[bytes], label: np.ndarray) -> None:
+        k = len(self.languages)
+        self.limit = np.full((len(LENGTHS), k), np.inf)
+        self.scale, self.power = 1.0, 0.0
+        if not texts:
+            return
+        scores, lengths, lines = self.model.line_scores(texts)
+        text = np.repeat(np.arange(len(texts)), lines)
+        line = np.arange(len(text)) - np.repeat(np.r_[0, np.cumsum(lines)[:-1]], lines)
+        cost, size, own, weight = [], [], [], []
+        for n in PIECES:
+            piece = np.unique(np.stack([text, line // n if n else 0 * line]), axis=1, return_inverse=True)[1]
+            count = int(piece.max()) + 1
+            bytes_ = np.bincount(piece, lengths, count)
+            nats = np.stack([np.bincount(piece, scores[:, i], count) for i in range(k)], 1)
+            of = np.zeros(count, np.int64)
+            of[piece] = text
+            told = np.flatnonzero(bytes_ > 0)
+            cost.append(-nats[told] / bytes_[told, None])
+            size.append(bytes_[told])
+            own.append(label[of[told]])
+            weight.append(1 / np.bincount(of[told], minlength=len(texts))[of[told]])  # documents count alike
+        cost, size, own, weight = (np.concatenate(x) for x in (cost, size, own, weight))
+        if not len(size):
+            return
+        mine = cost[np.arange(len(own)), own]
+        kind = self._kind(size)
+        for c in range(len(LENGTHS)):
+            here = kind == c
+            if here.any():
+                # A language with hardly any pieces of this length goes by all its pieces.
+                some = [here & (own == i) if (here & (own == i)).sum() >= 3 else own == i for i in range(k)]
+                middle = np.array([np.median(mine[x]) if x.any() else np.median(mine[here]) for x in some])
+                self.limit[c] = middle * np.exp(self._beyond(np.log(mine[here] / middle[own[here]])))
+        best = -np.inf
+        for power in np.arange(0, 1.01, 0.125):
+            for scale in 2.0 ** np.arange(-6, 14):
+                self_p = self._soft(cost, size, scale, power)[np.arange(len(own)), own]
+                fit = (weight * np.log(0.001 + 0.998 * self_p)).sum()
+                if fit > best:
+                    best, self.scale, self.power = fit, float(scale), float(power)
+
+    @staticmethod
+    def _beyond(x: np.ndarray) -> float:
+        """What a share of REFUSED lies beyond, from the upper tenth taken for the tail of an exponential distribution, as
+        there may be fewer pieces than it takes to see so small a share; not less than the largest."""
+        tail = np.quantile(x, 0.9)
+        return max(float(x.max()), float(tail + (x[x >= tail] - tail).mean() * np.log(0.1 / REFUSED)))
+
+    @staticmethod
+    def _kind(size: np.ndarray) -> np.ndarray:
+        """Which of the LENGTHS each size is of."""
+        return np.searchsorted(LENGTHS, size, "right") - 1
 
     def _learn(self, parts: list[bytes], texts: list[bytes], label: np.ndarray, keep: np.ndarray) -> Model:
         """Models of the kept texts' parts; a language that keeps none learns from all its texts."""
@@ -102,9 +146,9 @@ class Identifier:
         return Model(self.languages, per)
 
     @staticmethod
-    def _soft(cost: np.ndarray, scale: float) -> np.ndarray:
-        z = -scale * (cost - cost.min(1, keepdims=True))
-        e = np.exp(z)
+    def _soft(cost: np.ndarray, size: np.ndarray, scale: float, power: float) -> np.ndarray:
+        """Shares of certainty from costs per byte; a longer text's margins count for more."""
+        e = np.exp(-scale * np.maximum(size, 1)[:, None] ** power * (cost - cost.min(1, keepdims=True)))
         return e / e.sum(1, keepdims=True)
 
     def _own_parts(self, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -118,7 +162,7 @@ class Identifier:
 
     def segments(self, raw: list[str]) -> dict[str, np.ndarray]:
         """Per segment, in order: text, number in it, first and last line from 0, language (-1: rejected),
-        confidence, share of the text's characters."""
+        confidence (NaN if rejected), share of the text's characters."""
         raw = [lines_of(t) for t in raw]
         texts = [encode(t) for t in raw]
         scores, lengths, lines = self.model.line_scores(texts)
@@ -133,10 +177,12 @@ class Identifier:
         t = text[first]
         begin = np.r_[0, np.cumsum(lines)[:-1]]
         own = cost[np.arange(len(first)), best]
+        refused = (own > self.limit[self._kind(size), best]) | (size == 0)
+        sure = self._soft(cost, size, self.scale, self.power)[np.arange(len(first)), best]
         part, whole = np.add.reduceat(chars, first), np.bincount(text, chars, len(texts))
         return {
             "text": t, "segment": np.arange(len(first)) - np.searchsorted(t, t, "left"), "first": first - begin[t], "last": np.r_[first[1:], len(text)] - 1 - begin[t],
-            "lang": np.where((own > self.limit[best]) | (size == 0), -1, best), "confidence": self._soft(cost, self.scale)[np.arange(len(first)), best], "share": part / np.maximum(whole[t], 1),
+            "lang": np.where(refused, -1, best), "confidence": np.where(refused, np.nan, sure), "share": part / np.maximum(whole[t], 1),
         }
 
 
@@ -147,25 +193,27 @@ def enough_letters(text: str) -> bool:
 
 
 def labelled(documents: DataFrame, names: DataFrame) -> DataFrame:
-    """documents with `label`: the language that lang stands for, null if it is null or unknown."""
+    """documents with `label`: the language that lang stands for, null if it is null or unknown; and `chars`, the length
+    of the text, from n_chars where documents have it, so that choosing a sample needn't read texts."""
     alias = F.broadcast(names.groupBy(F.lower("alias").alias("alias")).agg(F.min("lang").alias("label")))
-    return documents.select("doc_id", "text", F.lower("lang").alias("alias")).join(alias, "alias", "left").drop("alias")
+    return documents.select("doc_id", "text", F.lower("lang").alias("alias"), (F.col("n_chars") if "n_chars" in documents.columns else F.length("text")).alias("chars")).join(alias, "alias", "left").drop("alias")
 
 
 def train(docs: DataFrame) -> Identifier:
-    """docs(doc_id, text, label). The sample is at most PER_LANGUAGE documents a language of at most LONGEST
-    characters, the same at every run; all else is left to scoring."""
-    known = docs.where(F.col("label").isNotNull() & F.col("text").isNotNull() & F.length("text").between(LETTERS, LONGEST))
+    """docs(doc_id, text, label, chars). The sample is at most PER_LANGUAGE documents a language of at most LONGEST
+    characters, the same at every run; all else is left to scoring. Texts are read once, for the sample's."""
+    known = docs.where(F.col("label").isNotNull() & F.col("chars").between(LETTERS, LONGEST))
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = known.select("label", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).select("doc_id", "label", "k")
-    sample = known.join(F.broadcast(rows.select("doc_id", "k").distinct()), "doc_id").select("label", "text", "k", "doc_id").orderBy("label", "k", "doc_id").collect()
-    return Identifier([(r[0], r[1]) for r in sample])
+    rows = known.select("label", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).select("doc_id", "k")
+    texts = docs.where(F.col("label").isNotNull() & F.col("text").isNotNull()).select("doc_id", "label", "text")
+    sample = texts.join(F.broadcast(rows.distinct()), "doc_id").select("label", "text", "k", "doc_id").orderBy("label", "k", "doc_id").collect()
+    return Identifier([(r[0], r[1]) for r in sample if len(r[1]) <= LONGEST])
 
 
 def language_segments(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """docs(doc_id, text, label) to (doc_id, label, n_letters_ok, segment, first_line, last_line, lang_found,
-    confidence, share): every segment of every text, in order, lines counted from 0. lang_found is null where no
-    language's cross-entropy is acceptable. An empty text is one segment without language; null texts have none.
+    confidence, share): every segment of every text, in order, lines counted from 0. lang_found and confidence are null
+    where no language's cross-entropy is acceptable. An empty text is one segment without language; null texts have none.
     Repeated rows each have their segments."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(identifier)

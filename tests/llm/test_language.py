@@ -51,7 +51,28 @@ def test_held_out_accuracy(me):
     texts = [(lang, text(lang, rng, 6)) for lang in WORDS for _ in range(50)]
     s = me.segments([t for _, t in texts])
     right = [texts[t][0] == me.languages[lang] for t, lang in zip(s["text"], s["lang"])]
-    assert len(right) == len(texts) and np.mean(right) > 0.99 and s["confidence"].min() > 0.5
+    assert len(right) == len(texts) and np.mean(right) > 0.99 and np.nanmin(s["confidence"]) > 0.5
+
+
+def test_confidence_is_calibrated(me):
+    """Of short texts that were not learnt, as many are right as their confidences say, in each range of confidence."""
+    rng = random.Random(12)
+    texts = [(lang, " ".join(rng.choice(WORDS[lang].split()) for _ in range(rng.randrange(1, 4))) + "\n") for lang in WORDS for _ in range(600)]
+    texts = [(lang, t) for lang, t in texts if sum(map(str.isalpha, t)) >= kn.TELLING]
+    s = me.segments([t for _, t in texts])
+    keep = s["lang"] >= 0
+    sure = s["confidence"][keep]
+    right = np.array([texts[t][0] == me.languages[lang] for t, lang in zip(s["text"][keep], s["lang"][keep])])
+    assert len(sure) > 1000 and abs(sure.mean() - right.mean()) < 0.05
+    for lo, hi in ((0, 0.8), (0.8, 0.95), (0.95, 1.01)):
+        some = (sure >= lo) & (sure < hi)
+        assert some.sum() < 30 or abs(sure[some].mean() - right[some].mean()) < 0.15
+
+
+def test_other_languages_are_refused(me):
+    texts = ["Коробка хранится на складе до следующей недели, потому что её ждут.\n" * 8, "zzyx qwqw 0x vvkk xjxj qqq wkwk zpzp\n" * 8]
+    s = me.segments(texts)
+    assert (s["lang"] == -1).all() and np.isnan(s["confidence"]).all()
 
 
 def test_segments(me):
