@@ -206,8 +206,8 @@ def train(docs: DataFrame) -> Identifier:
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = known.select("label", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).select("doc_id", "k")
     texts = docs.where(F.col("label").isNotNull() & F.col("text").isNotNull()).select("doc_id", "label", "text")
-    sample = texts.join(F.broadcast(rows.distinct()), "doc_id").select("label", "text", "k", "doc_id").orderBy("label", "k", "doc_id").collect()
-    return Identifier([(r[0], r[1]) for r in sample if len(r[1]) <= LONGEST])
+    sample = texts.join(F.broadcast(rows.distinct()), "doc_id").select("label", "k", "doc_id", "text").collect()
+    return Identifier([(r[0], r[3]) for r in sorted(sample) if len(r[3]) <= LONGEST])
 
 
 def language_segments(docs: DataFrame, identifier: Identifier) -> DataFrame:
