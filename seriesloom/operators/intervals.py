@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut
+
 RANGE = 86_400_000
 LAST = 2**63 - 1
 
@@ -32,7 +34,7 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, width: in
     rows = rows.where(F.col("entity").isNotNull() & F.col("s").isNotNull() & (F.col("e").isNull() | (F.col("e") >= F.col("s"))))
     close = F.when(F.col("e").isNotNull() & (F.col("e") < LAST), F.struct((F.col("e") + 1).alias("t"), F.lit(-1).cast("bigint").alias("d")))
     events = rows.select("entity", F.explode(F.array_compact(F.array(F.struct(F.col("s").alias("t"), F.lit(1).cast("bigint").alias("d")), close))).alias("v")).select("entity", "v.t", "v.d")
-    deltas = events.groupBy("entity", F.floor(F.col("t") / F.lit(width)).cast("bigint").alias("bucket"), "t").agg(F.sum("d").alias("d"))
+    deltas = cut(events.groupBy("entity", F.floor(F.col("t") / F.lit(width)).cast("bigint").alias("bucket"), "t").agg(F.sum("d").alias("d")), "deltas")
     own = Window.partitionBy("entity", "bucket").orderBy("t")
     active = F.col("base") + F.sum("d").over(own)
     counted = deltas.join(_base(deltas, F.sum("d"), "base", False), ["entity", "bucket"]).withColumn("active", active)
