@@ -94,7 +94,7 @@ class Inserter:
 
         unsigned = self.value_type is ValueType.UINTEGER64
         data = [(self.stream_id, t, Decimal(v) if unsigned else v) for t, v in self.rows]
-        self.store.append(self.store.spark.createDataFrame(data, f"stream_id string, ts bigint, {self.value_type.column} {self.value_type.spark}"))
+        self.store.append(self.store.spark.createDataFrame(data, f"stream_id string, ts bigint, {self.value_type.column} {self.value_type.spark}").coalesce(1))
         self.rows = []
 
 

@@ -11,13 +11,16 @@ from .api import Connection
 from .errors import LoomError
 from .functions.types import ValueType
 
+MOST_ROWS = 1_000_000
 FIELDS = {ValueType.INTEGER64: "values_i64", ValueType.UINTEGER64: "values_u64", ValueType.FLOAT64: "values_f64"}
 
 
 def answer(spark: SparkSession, body: dict) -> dict:
-    """A scalar has no timestamps. The whole result is one reply, so ask for results of a size that suits that."""
+    """A scalar has no timestamps. The whole result is one reply; one of more than MOST_ROWS rows is refused."""
     q = Connection(spark, body["path"]).prepare_query(body["query"], body.get("start"), body.get("end"))
-    rows = q.df.collect()
+    rows = q.df.take(MOST_ROWS + 1)
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"the result has more than {MOST_ROWS} rows; narrow the range or export it")
     return {"value_type": q.value_type.value, "timestamps": [r["ts"] for r in rows] if q.return_type == "vector" else [], FIELDS[q.value_type]: [q._python(r["value"]) for r in rows]}
 
 

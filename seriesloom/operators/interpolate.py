@@ -5,8 +5,9 @@ sample, its last value after its last, else the straight line between its neighb
 both sides are integers, unrounded if either is Float64. If a side is empty, so is the result. Null values and null
 timestamps are left out; of samples at the same time on one side the largest value counts.
 
-The time axis is cut into ranges of equal length; windows run within a range, and what a range needs from outside
-(the last sample before it, the first after it) comes from one row per range. So no task ever sorts a whole series.
+The time axis is cut into RANGES ranges of about equally many samples, by approximate quantiles, and each of these into
+PARTS of equal length; windows run within a part, and what a part needs from outside (the last sample before it, the
+first after it) comes from one row per part. So no task ever sorts a whole series, however its times are spread.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.numeric import arithmetic
 from ..functions.types import ValueType, promote
 
-BUCKETS = 1024
+RANGES, PARTS = 32, 32
 
 
 def _filled(side: str, kind: ValueType, rounded: bool, spark_type: str):
@@ -30,7 +31,16 @@ def _filled(side: str, kind: ValueType, rounded: bool, spark_type: str):
     return F.coalesce(c(""), F.when(v0.isNull(), v1).when(v1.isNull(), v0).otherwise(between))
 
 
-def interpolated(op: str, left: DataFrame, lt: ValueType, right: DataFrame, rt: ValueType, buckets: int = BUCKETS) -> tuple[DataFrame, ValueType]:
+def _range_of(bounds: list[int], low: int = 0, high: int | None = None) -> str:
+    """How many of the ascending bounds are at or before ts, by halving, as SQL."""
+    high = len(bounds) if high is None else high
+    if low == high:
+        return str(low)
+    mid = (low + high) // 2
+    return f"IF(ts < {bounds[mid]}L, {_range_of(bounds, low, mid)}, {_range_of(bounds, mid + 1, high)})"
+
+
+def interpolated(op: str, left: DataFrame, lt: ValueType, right: DataFrame, rt: ValueType, ranges: int = RANGES, parts: int = PARTS) -> tuple[DataFrame, ValueType]:
     as_float = ValueType.FLOAT64 in (lt, rt)
     types = ("double", "double") if as_float else (lt.spark, rt.spark)
     kinds = (ValueType.FLOAT64, ValueType.FLOAT64) if as_float else (lt, rt)
@@ -39,15 +49,20 @@ def interpolated(op: str, left: DataFrame, lt: ValueType, right: DataFrame, rt:
     a = left.where(live).select("ts", F.col("value").cast(types[0]).alias("a"), null(1).alias("b"))
     b = right.where(live).select("ts", null(0).alias("a"), F.col("value").cast(types[1]).alias("b"))
     both = a.unionAll(b)
-    ends = both.agg(F.min("ts"), F.max("ts")).first()
-    low, width = (ends[0], max(1, (ends[1] - ends[0]) // buckets + 1)) if ends and ends[0] is not None else (0, 1)
-    ranged = both.withColumn("bucket", F.floor((F.col("ts") - low) / F.lit(width)).cast("bigint")).repartition("bucket")
+    shares = [i / ranges for i in range(1, ranges)]
+    low, high, cuts = both.agg(F.min("ts"), F.max("ts"), F.percentile_approx("ts", F.lit(shares or [0.5]), 10_000)).first()
+    bounds = sorted(set(cuts or [])) if shares else []
+    starts = [low or 0, *bounds]
+    widths = [max(1, (b - a) // parts + 1) for a, b in zip(starts, [*bounds, (high or 0) + 1])]
+    at = lambda xs: F.element_at(F.expr(f"array({', '.join(f'{x}L' for x in xs)})"), F.col("range") + 1)
+    part = F.floor((F.col("ts") - at(starts)) / at(widths)).cast("bigint")
+    ranged = both.withColumn("range", F.expr(_range_of(bounds))).withColumn("bucket", F.col("range") * (parts + 1) + part).drop("range").repartition("bucket")
     points = ranged.groupBy("bucket", "ts").agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
     def point(x: str):
         return F.when(F.col(x).isNotNull(), F.struct("ts", F.col(x).alias("v")))
 
-    # One row per range, at most `buckets` of them: its first and last sample of each side.
+    # One row per part, at most ranges * (parts + 1) of them: its first and last sample of each side.
     edges = points.groupBy("bucket").agg(*(f(F.when(F.col(x).isNotNull(), F.struct("ts", F.col(x).alias("v")))).alias(f"{x}_{n}") for x in "ab" for n, f in (("first", F.min), ("last", F.max))))
     order = Window.orderBy("bucket")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)

@@ -17,7 +17,7 @@ def evaluate_k(k) -> int:
         value = None if row is None else row[0]
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return 0
-    return int(min(max(value, 0), 2**31 - 1))
+    return int(min(max(value, 0), 2**63 - 1))
 
 
 def first_k(op: str, k, vector) -> DataFrame:
@@ -28,5 +28,7 @@ def first_k(op: str, k, vector) -> DataFrame:
     df = vector.df.where(v.isNotNull())
     if vector.value_type is ValueType.FLOAT64:
         df = df.where(~F.isnan(v))
-    kept = df.select("value").orderBy(order).limit(evaluate_k(k))
+    most = evaluate_k(k)
+    kept = df.select("value").orderBy(order)
+    kept = kept.limit(most) if most < 2**31 else kept  # a limit is an int; so many rows are all there are
     return kept.select(F.row_number().over(Window.orderBy(order)).alias("idx"), "value")

@@ -1,4 +1,5 @@
-"""Query tree to DataFrame plan. Planning reads only the catalogue; Spark optimises and runs the rest."""
+"""Query tree to DataFrame plan. Planning reads only the catalogue, but for a computed k, and for arithmetic between two
+series the quantiles of their times; Spark optimises and runs the rest."""
 
 from __future__ import annotations
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,12 +11,15 @@ from ..api import Connection
 from ..functions.types import MAX_TS, ValueType as V
 from ..operators.catalog import required_files, streams_by_postings
 from ..operators.summary import from_summary, summarise
+from ..session import scratch
 from .keys_sql import cid
 from ..sources.tables import Series, TableSource, micros_within
 
 #: A range of id_to_file in milliseconds, and labels of the inverted index.
 NEEDED, WANTED = (1_516_000_000_000, 1_517_000_000_000), {"__name": "chamber_temp", "site": "birch"}
 #: 2024-01-05 and 2024-01-20 in microseconds: a range inside the events.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+HINT_OPS = ("sum", "count", "avg", "min", "max")
 START, END = 1_704_412_800_000_000, 1_705_708_800_000_000
 
 
@@ -114,6 +118,10 @@ PLANNED: dict[str, tuple[str, int, int, str, int | None]] = {
     "matcher_nre": ('events{event_type!~"c.*|view"}', 0, MAX_TS, vs("value", cond="NOT (event_type LIKE 'c%' OR event_type = 'view')"), None),
     "matcher_or": ('order_price{status="F", priority="1-URGENT" or status="P"}', 0, MAX_TS, vs("o_totalprice", table="orders", ts="epoch_us(o_orderdate)", cond="((o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR o_orderstatus = 'P')"), None),
     "at_start": (f"count({CLICK} @ start())", START, END, scalar("count(*)", f"events WHERE event_type = 'click' AND {AT} <= {END}"), None),
+    "at_end": (f"count({CLICK} @ end())", START, END, "SELECT 0::DOUBLE AS value", None),
+    "at_time": (f"count({CLICK} @ 1704412800123)", 0, END, scalar("count(*)", f"events WHERE event_type = 'click' AND {AT} BETWEEN 1704412800123000 AND {END}"), None),
+    "at_offset": (f"count({CLICK} @ 1704412800123 offset 5d)", 0, END, scalar("count(*)", f"events WHERE event_type = 'click' AND {AT} BETWEEN 1704412800123000 + 432000000 AND {END}"), None),
+    "topk_nan": (f"topk(1000000, ({U_CLICK} - 50) / 0)", 0, MAX_TS, "SELECT CASE WHEN user_id > 50 THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END AS value FROM events WHERE event_type = 'click' AND user_id <> 50", None),
     "multi_stream_union": ("events", 0, MAX_TS, vs("value", cond="true"), None),
     "promote_mixed_types": ("event_any > 250", 0, MAX_TS, f"SELECT ts, value FROM (SELECT {AT} AS ts, value FROM events UNION ALL SELECT {AT}, user_id::DOUBLE FROM events) WHERE value > 250", None),
 }
@@ -142,20 +150,57 @@ def header_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select("stream_id", "file_id", "min_ts", "max_ts", "n", F.round("value_sum", 4).alias("value_sum"), "min_value", "max_value", "first_value")
 
 
-def summary_hint_sum(spark: SparkSession, d: str) -> DataFrame:
-    ev = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type") == "click")
-    rows = ev.select(F.col("event_type").alias("stream_id"), F.date_format("ts", "yyyy-MM-dd").alias("file_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "value")
-    df, _ = from_summary("sum", summarise(rows), rows, V.FLOAT64, START + 7_200_000_000, END - 7_200_000_000)
-    return df.select(F.round("value", 4).alias("value"))
+HINTED = (START + 7_200_000_000, END - 7_200_000_000)
+
+
+def summary_hint(op: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ev = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type") == "click")
+        rows = ev.select(F.col("event_type").alias("stream_id"), F.date_format("ts", "yyyy-MM-dd").alias("file_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "value")
+        df, _ = from_summary(op, summarise(rows), rows, V.FLOAT64, *HINTED)
+        return df.select(F.round(F.col("value").cast("double"), 4).alias("value"))
+
+    return run
+
+
+def event_store(spark: SparkSession, d: str) -> Connection:
+    """A store with a stream for each type of event, filled in one batch that is then sent again."""
+    conn = Connection(spark, scratch(spark, "store"))
+    for kind in EVENT_TYPES:
+        conn.create_stream(f'ev{{kind="{kind}"}}', V.FLOAT64)
+    ids = conn.get_all_streams().select("stream_id", F.element_at("labels", "kind").alias("event_type"))
+    rows = spark.read.parquet(f"{d}/events.parquet").join(F.broadcast(ids), "event_type").select("stream_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").alias("v_f64"))
+    for _ in range(2):
+        conn.store.append(rows, "events")
+    return conn
+
+
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Streams created, filled and read back."""
+    return event_store(spark, d).prepare_query('ev{kind=~"click|view"}', 0, MAX_TS).plan.df.select("ts", "value")
+
+
+def store_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Every aggregate from the statistics that a store keeps."""
+    conn = event_store(spark, d)
+    plans = [(op, conn.prepare_query(f'{op}(ev{{kind="click"}})', *HINTED).plan.df) for op in HINT_OPS]
+    each = [df.select(F.lit(op).alias("op"), F.round(F.col("value").cast("double"), 4).alias("value")) for op, df in plans]
+    return reduce(DataFrame.unionAll, each)
+
+
+def store_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Samples per stream as the statistics of its files have them, none of which has too many."""
+    conn = event_store(spark, d)
+    names = conn.get_all_streams().select("stream_id", F.element_at("labels", "kind").alias("kind"))
+    per = conn.store.headers().groupBy("stream_id").agg(F.sum("n").alias("n"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), (F.max("n") <= 62_500).alias("rolled_over"))
+    return names.join(per, "stream_id").drop("stream_id")
 
 
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    from ..session import shared_dir
     from ..sources.csv import read_csv, write_csv
-    import uuid
 
     q = Connection(spark, source=source(spark, d)).prepare_query(U_CLICK, 0, MAX_TS)
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     write_csv(q.plan.df, path)
     return read_csv(spark, path, V.FLOAT64)
 
@@ -169,7 +214,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: planned(n) for n in PLANNED} | {"list_streams": list_streams, "header_stats": header_stats, "summary_hint_sum": summary_hint_sum, "csv_roundtrip": csv_roundtrip, "needed_files": needed_files, "postings": postings}
+    return {n: planned(n) for n in PLANNED} | {"list_streams": list_streams, "header_stats": header_stats, **{f"summary_hint_{op}": summary_hint(op) for op in HINT_OPS}, "store_roundtrip": store_roundtrip, "store_hints": store_hints, "store_summary": store_summary, "csv_roundtrip": csv_roundtrip, "needed_files": needed_files, "postings": postings}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -179,10 +224,14 @@ def oracle_sql() -> dict[str, str]:
         cols = "ts, " if sql.lstrip().upper().startswith(("SELECT TS", "WITH K")) else ""
         return f"SELECT {cols}round(value, {digits}) AS value FROM ({sql})"
 
+    hinted = f"events WHERE event_type = 'click' AND {AT} BETWEEN {HINTED[0]} AND {HINTED[1]}"
     return {n: rounded(p[3], p[4]) for n, p in PLANNED.items()} | {
         "list_streams": "SELECT stream_id, array_to_string(list_sort(list_transform(map_entries(map_concat(MAP {'__name': coalesce(name, '')}, coalesce(labels, MAP {}))), lambda e: e.key || '=' || e.value)), ',') AS labels, value_type FROM streams",
         "header_stats": "SELECT event_type AS stream_id, strftime(ts, '%Y-%m-%d') AS file_id, min(epoch_us(ts)) AS min_ts, max(epoch_us(ts)) AS max_ts, count(*) AS n, round(sum(value), 4) AS value_sum, min(value) AS min_value, max(value) AS max_value, arg_min(value, ts) AS first_value FROM events GROUP BY ALL",
-        "summary_hint_sum": f"SELECT round(sum(value), 4) AS value FROM events WHERE event_type = 'click' AND {AT} BETWEEN {START + 7_200_000_000} AND {END - 7_200_000_000}",
+        **{f"summary_hint_{op}": f"SELECT round({op}({'*' if op == 'count' else 'value'}), 4)::DOUBLE AS value FROM {hinted}" for op in HINT_OPS},
+        "store_roundtrip": vs("value", cond="event_type IN ('click', 'view')"),
+        "store_hints": " UNION ALL ".join(f"SELECT '{op}' AS op, round({op}({'*' if op == 'count' else 'value'}), 4)::DOUBLE AS value FROM {hinted}" for op in HINT_OPS),
+        "store_summary": f"SELECT event_type AS kind, count(*) AS n, min({AT}) AS min_ts, max({AT}) AS max_ts, true AS rolled_over FROM events GROUP BY ALL",
         "csv_roundtrip": vs("user_id"),
         "needed_files": f"SELECT id, filename, start_ts, end_ts FROM id_to_file WHERE (end_ts IS NULL OR end_ts >= {NEEDED[0]}) AND start_ts <= {NEEDED[1]}",
         "postings": "SELECT stream_id FROM (" + " INTERSECT ".join(f"SELECT {cid('e')} AS stream_id FROM (SELECT unnest(from_json(CASE WHEN json_valid(ids) AND json_type(ids) = 'ARRAY' THEN ids ELSE '[]' END, '[\"VARCHAR\"]')) AS e FROM stream_to_ids WHERE name = '{k}' AND value = '{v}') WHERE e IS NOT NULL" for k, v in WANTED.items()) + ")",

@@ -30,6 +30,8 @@ def read_csv(spark: SparkSession, path: str, kind: ValueType) -> DataFrame:
     return raw.select(ts.alias("ts"), value.alias("value"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A vector result as Timestamp,Value with values as doubles, in order of time. One file; use it for results."""
-    df.select(F.col("ts").alias("Timestamp"), F.col("value").cast("double").alias("Value")).orderBy("Timestamp").coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """A vector result as Timestamp,Value with values as doubles, in order of time: one file, or for large results
+    several that follow one another in the order of their names."""
+    rows = df.select(F.col("ts").alias("Timestamp"), F.col("value").cast("double").alias("Value")).orderBy("Timestamp")
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").csv(path, header=True)

@@ -1,8 +1,12 @@
 """The store: a folder with the stream catalogue, the samples and their per-file statistics, all Parquet.
 
-Samples lie in a fixed number of hash buckets of the stream id, sorted by stream and time within each file, so a
-selector's ids prune folders, row-group statistics prune the rest, and millions of streams don't make millions of
-folders. Each flush gets a file id per stream and at most MAX_ENTRIES samples, whose statistics go to `summary`.
+Samples lie in batches, and in those in a fixed number of hash buckets of the stream id, sorted by stream and time
+within each Parquet file, so a selector's ids prune folders, row-group statistics prune the rest, and millions of
+streams don't make millions of folders. In a batch, at most MAX_ENTRIES successive samples of one stream have the same
+file id; `summary` has one row of statistics for each.
+
+A batch is prepared aside, samples and then statistics, and put in place by renaming its two folders; one of the same
+name is replaced, so that a repeated batch doesn't double its samples.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..errors import CatalogError, NoStreamsMatchedError
 from ..functions.types import ValueType, convert, promote
@@ -82,22 +86,41 @@ class Warehouse:
         self.spark.createDataFrame([(stream_id, name, labels, kind.value)], STREAMS).coalesce(1).write.mode("append").parquet(f"{self.path}/streams")
         return stream_id
 
-    def append(self, rows: DataFrame) -> None:
-        """rows(stream_id, ts, and one of v_i64, v_u64, v_f64 filled). Nothing is sorted out: repeats stay."""
-        batch = uuid.uuid4().hex
+    def append(self, rows: DataFrame, batch: str | None = None) -> None:
+        """rows(stream_id, ts, and one of v_i64, v_u64, v_f64 filled). Nothing is sorted out: repeats stay. batch: a
+        name; what a batch of this name held before is replaced. By default each batch is new."""
+        name = f"b{uuid.uuid4().hex if batch is None else batch}"
         for c, t in (("v_i64", "bigint"), ("v_u64", "decimal(20,0)"), ("v_f64", "double")):
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None).cast(t))
         hashed = F.pmod(F.xxhash64("stream_id"), F.lit(BUCKETS)).cast("int")
-        placed = rows.select("stream_id", F.concat_ws("-", F.lit(batch), F.spark_partition_id(), hashed).alias("file_id"), "ts", "v_i64", "v_u64", "v_f64", hashed.alias("bucket"))
-        placed.sortWithinPartitions("bucket", "stream_id", "ts").write.mode("append").option("maxRecordsPerFile", MAX_ENTRIES).partitionBy("bucket").parquet(f"{self.path}/samples")
-        own = self.samples.where(F.col("file_id").startswith(batch))
+        parts = rows.select("stream_id", "ts", "v_i64", "v_u64", "v_f64", hashed.alias("bucket"), F.spark_partition_id().alias("part"))
+        # Samples are numbered within what one task brought of a stream, so a stream's samples need not meet.
+        nth = F.row_number().over(Window.partitionBy("bucket", "stream_id", "part").orderBy("ts")) - 1
+        placed = parts.withColumn("file_id", F.concat_ws("-", F.lit(name), "part", F.floor(nth / F.lit(MAX_ENTRIES)).cast("string"))).drop("part")
+        aside = f"_staging/{name}-{uuid.uuid4().hex}"
+        placed.sortWithinPartitions("bucket", "stream_id", "ts").write.option("maxRecordsPerFile", MAX_ENTRIES).partitionBy("bucket").parquet(f"{self.path}/{aside}/samples")
+        own = self.spark.read.schema(SAMPLES).parquet(f"{self.path}/{aside}/samples")
         stats = []
         for s in ("i64", "u64", "f64"):
             v = F.col(f"v_{s}")
             top = F.coalesce(F.max(F.when(~F.isnan(v), v)), F.max(v)) if s == "f64" else F.max(v)
             stats += [F.sum(v).alias(f"sum_{s}"), F.min(v).alias(f"min_{s}"), top.alias(f"max_{s}"), F.min_by(v, F.when(v.isNotNull(), F.col("ts"))).alias(f"first_{s}")]
-        own.groupBy("stream_id", "file_id").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count(F.lit(1)).alias("n"), *stats).coalesce(1).write.mode("append").parquet(f"{self.path}/summary")
+        own.groupBy("stream_id", "file_id").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count(F.lit(1)).alias("n"), *stats).coalesce(1).write.parquet(f"{self.path}/{aside}/summary")
+        for table in ("samples", "summary"):
+            (made, fs), (place, _) = self._fs(f"{aside}/{table}"), self._fs(f"{table}/batch={name}")
+            fs.delete(place, True)
+            fs.rename(made, place)
+        p, fs = self._fs(aside)
+        fs.delete(p, True)
+
+    def compact(self) -> None:
+        """All batches as one, with files of a stream filled up; not while others read or write."""
+        old = [f.getPath() for p, fs in (self._fs("samples"), self._fs("summary")) for f in fs.listStatus(p) if f.getPath().getName().startswith("batch=")]
+        self.append(self.samples.select("stream_id", "ts", "v_i64", "v_u64", "v_f64").repartition("stream_id"))
+        fs = self._fs("samples")[1]
+        for p in old:
+            fs.delete(p, True)
 
     def _resolve(self, s: Selector):
         found = self.matching(s)
@@ -141,7 +164,6 @@ class Warehouse:
         return self.summary.select("stream_id", "file_id", "min_ts", "max_ts", "n", *(pick(p).alias(f"{p}_value") for p in ("sum", "min", "max", "first")))
 
 
-
     def files(self) -> DataFrame:
         """Per Parquet file of samples: its size in bytes, its rows, and how many times smaller it is than 16 bytes a
         row."""

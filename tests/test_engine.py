@@ -161,10 +161,28 @@ def test_interpolation_rounds_and_carries(spark):
 
     a = series([(0, 0), (10, -5), (10, -9), (None, 3), (4, None)], V.INTEGER64)
     b = series([(1, 1), (2, 1), (9, 1), (12, 2)], V.INTEGER64)
-    for buckets in (1, 3, 1024):
-        df, kind = interpolated("+", a, V.INTEGER64, b, V.INTEGER64, buckets)
+    for ranges, parts in ((1, 1), (1, 7), (3, 2), (64, 64)):
+        df, kind = interpolated("+", a, V.INTEGER64, b, V.INTEGER64, ranges, parts)
         assert kind is V.INTEGER64
         assert sorted((r["ts"], r["value"]) for r in df.collect()) == [(0, 1), (1, 0), (2, 0), (9, -4), (10, -4), (12, -3)]
     df, kind = interpolated("-", a, V.INTEGER64, series([(5, 0.5)], V.FLOAT64), V.FLOAT64)
     assert sorted((r["ts"], r["value"]) for r in df.collect()) == [(0, -0.5), (5, -3.0), (10, -5.5)]
     assert interpolated("+", a, V.INTEGER64, a.limit(0), V.INTEGER64)[0].collect() == []
+
+
+def test_stray_times_dont_crowd_a_range(spark):
+    """Parts follow the samples, not the calendar: far strays leave the others spread."""
+    from pyspark.sql import functions as F
+
+    from seriesloom.operators.interpolate import interpolated
+
+    a = spark.range(20_000).select(F.when(F.col("id") == 0, 2**62).otherwise(F.col("id")).alias("ts"), F.lit(1.0).alias("value"))
+    df, _ = interpolated("+", a, V.FLOAT64, a, V.FLOAT64)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        points = df.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("count"), F.sum("value").alias("sum")).collect()
+    finally:
+        spark.conf.unset(merge)
+    assert sum(r["count"] for r in points) == 20_000 and sum(r["sum"] for r in points) == 40_000
+    assert len(points) == 4 and max(r["count"] for r in points) < 10_000

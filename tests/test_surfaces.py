@@ -3,6 +3,7 @@
 import io
 import json
 import threading
+import uuid
 import urllib.error
 import urllib.request
 
@@ -13,6 +14,7 @@ from seriesloom.api import Connection
 from seriesloom.chart import plot
 from seriesloom.functions.types import ValueType as V
 from seriesloom.operators.catalog import required_files, streams_by_postings
+from seriesloom.sources import warehouse
 from seriesloom.sources.csv import CsvError, read_csv
 from seriesloom.streaming.ingest import ingest
 
@@ -95,3 +97,27 @@ def test_streaming(conn, spark, tmp_path):
     ingest(conn.store, source, str(tmp_path / "cp"), available_now=True).awaitTermination(60)
     assert [r["value"] for r in conn.prepare_query("m", 0, 9).df.collect()] == [2.0, 1.0, 1.0]
     assert conn.prepare_query("count(m)", 0, 9).next_scalar() == 3
+    again = spark.read.parquet(str(tmp_path / "in"))
+    name = uuid.uuid5(uuid.NAMESPACE_URL, str(tmp_path / "cp")).hex
+    conn.store.append(again, f"{name}-0")  # the same micro-batch once more, as after a failure
+    assert conn.prepare_query("count(m)", 0, 9).next_scalar() == 3 and conn.prepare_query("count(m)", 0, 9, hints=False).next_scalar() == 3
+
+
+def test_files_roll_over(conn, spark, monkeypatch):
+    """Two flushes of one and a half files: statistics per file, none too large, and three full ones when compacted."""
+    monkeypatch.setattr(warehouse, "MAX_ENTRIES", 100)
+    conn.create_stream("m", V.INTEGER64)
+    for i in range(2):
+        ins = conn.prepare_insert("m")
+        for t in range(150):
+            ins.insert_integer64(1000 * i + t, t)
+        ins.flush()
+    sizes = lambda: sorted(r["n"] for r in conn.store.headers().collect())
+    assert sizes() == [50, 50, 100, 100]
+    want = [float(r["value"]) for r in conn.prepare_query("m", 0, 9999).df.collect()]
+    conn.store.compact()
+    assert sizes() == [100, 100, 100] and [float(r["value"]) for r in conn.prepare_query("m", 0, 9999).df.collect()] == want
+    for op in ("sum", "count", "avg", "min", "max"):
+        assert conn.prepare_query(f"{op}(m)", 120, 1080).next_scalar() == conn.prepare_query(f"{op}(m)", 120, 1080, hints=False).next_scalar()
+    first = [r["first_value"] for r in conn.store.headers().orderBy("min_ts").collect()]
+    assert first == [0, 100, 50]
