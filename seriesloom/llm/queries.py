@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut
 from ..sources.store import readings
@@ -94,8 +94,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return corrections(language_segments(rows, train(rows))).select("doc_id", "lang_found")
 
 
+def p9_covered(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the segments: every document with a text has some, they follow one another without a gap, make
+    up the whole text, and have a confidence if and only if they have a language."""
+    by = Window.partitionBy("doc_id").orderBy("segment")
+    segments = p9_segments(spark, d).withColumn("expected", F.coalesce(F.lag("last_line").over(by) + 1, F.lit(0)))
+    broken = (F.col("first_line") != F.col("expected")) | (F.col("last_line") < F.col("first_line")) | (F.col("lang_found").isNull() != F.col("confidence").isNull()) | ~F.coalesce(F.col("confidence").between(0, 1), F.lit(True))
+    per = segments.groupBy("doc_id").agg(F.count(F.when(broken, 1)).alias("broken"), F.sum("share").alias("share"))
+    return per.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("broken"), F.lit(0)).alias("broken"), F.count(F.when(F.abs(F.col("share") - 1) > 1e-6, 1)).alias("not_whole"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_percentiles, p4_merged, p7_found, p8_mix, p8_shares, p8_limits, p9_found, p9_segments, p9_languages)}
+    return {f.__name__: f for f in (p4_percentiles, p4_merged, p7_found, p8_mix, p8_shares, p8_limits, p9_found, p9_segments, p9_languages, p9_covered)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -110,4 +120,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_merged": f"WITH {rows}, {names}, x AS ({by_metric}), {pct}",
         "p8_limits": "SELECT source, 0 AS over_limit, 0 AS foreign_documents, true AS share_reached FROM mix_targets",
         "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams('documents', 'doc_id')}) d JOIN (SELECT DISTINCT * FROM ({grams('eval_items', 'item_id')})) e USING (g)",
+        "p9_covered": "SELECT count(*) AS documents, 0 AS broken, 0 AS not_whole FROM documents WHERE text IS NOT NULL",
     }
