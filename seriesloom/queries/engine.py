@@ -163,9 +163,9 @@ def summary_hint(op: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def event_store(spark: SparkSession, d: str) -> Connection:
+def event_store(spark: SparkSession, d: str, path: str | None = None) -> Connection:
     """A store with a stream for each type of event, filled in one batch that is then sent again."""
-    conn = Connection(spark, scratch(spark, "store"))
+    conn = Connection(spark, path or scratch(spark, "store"))
     for kind in EVENT_TYPES:
         conn.create_stream(f'ev{{kind="{kind}"}}', V.FLOAT64)
     ids = conn.get_all_streams().select("stream_id", F.element_at("labels", "kind").alias("event_type"))

@@ -34,6 +34,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_grid(spark, d).where("missing").select(F.col("entity").alias("stream_id"), "slot_ts")
 
 
+def p1_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The grid's slots with their readings, without what the smoother adds."""
+    return p1_grid(spark, d).select(F.col("entity").alias("stream_id"), "slot_ts", F.col("n_readings").cast("bigint").alias("n_readings"), "missing", (F.col("value").isNull() == F.col("sd").isNull()).alias("consistent"))
+
+
 # Problem 2
 
 #: The metric that only grows and the one that holds its values by nature.
@@ -120,7 +125,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_implausible, p3_found, p3_periods, p5_rolling, p5_versions, p6_found, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p1_slots, p2_found, p2_implausible, p3_found, p3_periods, p5_rolling, p5_versions, p6_found, p6_report)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -154,6 +159,7 @@ j AS (SELECT ref_table, ref_field, r.k AS ref_value, strftime(tm, '%Y-%m') AS pe
     known = "k AS (SELECT s.*, step_ms, lo_limit, hi_limit, metric FROM samples s JOIN n USING (stream_id) JOIN metric_catalog c ON c.name = n.metric WHERE ts >= 1514764800000 AND ts < 1798761600000 AND value IS NOT NULL)"
     return {
         "p1_found": f"WITH {names}, {known}, s AS (SELECT DISTINCT stream_id, step_ms, ts // step_ms AS slot FROM k WHERE NOT isnan(value) AND NOT isinf(value)), g AS (SELECT stream_id, any_value(step_ms) AS step_ms, unnest(range(min(slot), max(slot) + 1)) AS slot FROM s GROUP BY stream_id) SELECT stream_id, slot * step_ms AS slot_ts FROM g ANTI JOIN s USING (stream_id, slot)",
+        "p1_slots": f"WITH {names}, {known}, s AS (SELECT stream_id, any_value(step_ms) AS step_ms, ts // step_ms AS slot, count(*) AS n FROM k WHERE NOT isnan(value) AND NOT isinf(value) GROUP BY ALL), g AS (SELECT stream_id, any_value(step_ms) AS step_ms, unnest(range(min(slot), max(slot) + 1)) AS slot FROM s GROUP BY stream_id) SELECT g.stream_id, g.slot * g.step_ms AS slot_ts, coalesce(n, 0) AS n_readings, n IS NULL AS missing, true AS consistent FROM g LEFT JOIN s ON g.stream_id = s.stream_id AND g.slot = s.slot",
         "p3_found": f"WITH {covered} SELECT id, before + 1 AS gap_start, s - 1 AS gap_end FROM m WHERE before IS NOT NULL AND before < 9223372036854775807 AND s > before + 1",
         "p3_periods": f"WITH {covered}, i AS (SELECT *, sum(CASE WHEN before IS NULL OR (before < 9223372036854775807 AND s > before + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT id, min(s) AS period_start, nullif(max(e), 9223372036854775807) AS period_end FROM i GROUP BY id, island",
         "p5_rolling": exact,
