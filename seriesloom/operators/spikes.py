@@ -7,8 +7,9 @@ candidates, long ones changes of behaviour; an exact check then compares the can
 unaffected readings on both sides. What isn't sparse is no candidate, whatever its surroundings.
 
 A source's days are cut into tiles of bounded size, some days times some slots of the day, with a margin of HALO slots
-on either side so that levels, bursts and runs are seen whole. Tiles with far more readings than slots are split by
-time, with margins counted in readings. So no task gets a whole source, however long or dense. The source's spread is
+on either side so that levels, bursts and runs are seen whole; where a margin holds few readings, as after a gap, the
+nearest NEAR ones beyond it are carried over, whatever their distance. Tiles with far more readings than slots are
+split by time, with margins counted in readings. So no task gets a whole source, however long or dense. The source's spread is
 put together from its tiles'.
 """
 
@@ -40,6 +41,8 @@ TURNS, MOST = 6, 1e12
 #: A tile of more readings is split into parts of about half as many, at whole spans of SPAN_MS, with a margin of at
 #: least MARGIN readings.
 CROWDED, SPAN_MS, MARGIN = 65_536, 1000, 256
+#: Readings that a margin should have.
+NEAR = 16
 
 FLAGS = "entity string, seq bigint, ts bigint, value double, kind string, dev double, spread double, n bigint"
 
@@ -60,9 +63,51 @@ def _tile(slot: Column) -> Column:
     return F.struct(F.floor(day / F.col("days")).alias("db"), F.floor((slot - day * F.col("per_day")) / F.col("width")).alias("cb"))
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """rows in each tile `t` that they belong to or are in the margin of."""
-    return _laid(rows).withColumn("t", F.explode(F.array_distinct(F.array(F.col("home"), _tile(F.col("slot") - HALO), _tile(F.col("slot") + HALO)))))
+def _piece(slot: Column) -> Column:
+    """Number of the stretch of time that a tile has around a slot: all of its days, or its block of one day."""
+    day = F.floor(slot / F.col("per_day"))
+    return F.when(F.col("blocks") == 1, F.floor(day / F.col("days"))).otherwise(day * F.col("blocks") + F.floor((slot - day * F.col("per_day")) / F.col("width")))
+
+
+def _placed(laid: DataFrame) -> DataFrame:
+    """Laid rows in each tile `t` that they belong to (own) or are in the margin of."""
+    each = F.explode(F.array_distinct(F.array(F.col("home"), _tile(F.col("slot") - HALO), _tile(F.col("slot") + HALO))))
+    return laid.withColumn("t", each).withColumn("own", F.col("t") == F.col("home"))
+
+
+LAYOUT = ("entity", "step_ms", "per_day", "blocks", "days", "width")
+
+
+def _counted(laid: DataFrame) -> DataFrame:
+    """Per source and piece: rows in it, in its margin before and in that after."""
+    piece = _piece(F.col("slot"))
+    each = F.array(F.struct(piece.alias("p"), F.lit(0).alias("side")), *(F.when(_piece(F.col("slot") - side * HALO) != piece, F.struct(_piece(F.col("slot") - side * HALO).alias("p"), F.lit(side).alias("side"))) for side in (-1, 1)))
+    rows = laid.select(*LAYOUT, F.explode(F.array_compact(each)).alias("e")).select(*LAYOUT, "e.*")
+    side = lambda x: F.count(F.when(F.col("side") == x, 1))
+    return rows.groupBy(*LAYOUT, "p").agg(side(0).alias("n"), side(-1).alias("before"), side(1).alias("after"))
+
+
+def _carried(laid: DataFrame, pieces: DataFrame) -> DataFrame | None:
+    """Rows for the tiles of pieces with few readings in a margin: the NEAR nearest ones of the next piece with any on
+    that side, brought up to the margin. pieces: as of _counted, a table."""
+    by = Window.partitionBy("entity", "step_ms").orderBy("p")
+    with_any = pieces.where(F.col("n") > 0)
+    sides = with_any.select(*LAYOUT, "p", "before", "after", F.lag("p").over(by).alias("last"), F.lead("p").over(by).alias("next"))
+    lack = lambda n, there: F.when((F.col(n) < NEAR) & F.col(there).isNotNull(), F.struct(F.col(there).alias("source"), F.lit(-1 if n == "before" else 1).alias("side")))
+    wanted = cut(sides.select("entity", "step_ms", "p", F.explode(F.array_compact(F.array(lack("before", "last"), lack("after", "next")))).alias("e")).select("entity", "step_ms", "p", "e.*"), "wanted")
+    if wanted.isEmpty():
+        return None
+    rows = laid.withColumn("source", _piece(F.col("slot"))).join(wanted, ["entity", "step_ms", "source"])
+    nearest = Window.partitionBy("entity", "step_ms", "p", "side").orderBy(F.col("side") * F.col("ts"))
+    rows = rows.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= NEAR)
+    day = F.floor(F.col("p") / F.col("blocks"))
+    block = F.col("p") - day * F.col("blocks")
+    one = F.col("blocks") == 1
+    first = F.when(one, F.col("p") * F.col("days") * F.col("per_day")).otherwise(day * F.col("per_day") + block * F.col("width"))
+    end = F.when(one, (F.col("p") + 1) * F.col("days") * F.col("per_day")).otherwise(day * F.col("per_day") + F.least((block + 1) * F.col("width"), F.col("per_day")))
+    slot = F.when(F.col("side") < 0, first - HALO - F.col("rank")).otherwise(end + HALO - 1 + F.col("rank"))
+    tile = F.struct(F.when(one, F.col("p")).otherwise(F.floor(day / F.col("days"))).alias("db"), F.when(one, F.lit(0)).otherwise(block).cast("bigint").alias("cb"))
+    return rows.withColumn("t", tile).withColumn("own", F.lit(False)).withColumn("slot", slot).withColumn("ts", slot * F.col("step_ms")).drop("source", "p", "side", "rank")
 
 
 def _split(placed: DataFrame) -> DataFrame:
@@ -79,7 +124,7 @@ def _split(placed: DataFrame) -> DataFrame:
     near = F.array("p", F.when(F.col("from") < F.col("begin") + MARGIN, F.col("p") - 1), F.when(F.col("upto") > F.col("end") - MARGIN, F.col("p") + 1))
     parts = spans.select("entity", "t", "span", "p", F.explode(near).alias("part")).join(sizes, ["entity", "t", "part"])
     per_day = F.when(F.col("long"), F.round(F.lit(DAY_MS) / F.col("fine"))).otherwise(0).cast("bigint")
-    split = heavy.withColumn("own", F.col("t") == F.col("home")).join(parts, ["entity", "t", "span"]).withColumn("own", F.col("own") & (F.col("p") == F.col("part")))
+    split = heavy.join(parts, ["entity", "t", "span"]).withColumn("own", F.col("own") & (F.col("p") == F.col("part")))
     return split.withColumn("step_ms", F.col("fine")).withColumn("per_day", per_day).withColumn("blocks", F.lit(1).cast("bigint")).withColumn("width", F.greatest(F.lit(1), "per_day")).select(*TILED)
 
 
@@ -90,9 +135,15 @@ def tiles(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """rows (entity, seq, ts, value, ok, copies, finite, step_ms, counter) to one row per tile, with the readings in
     arrays. counted: rows, or what they were made from, to find crowded tiles by. Only the readings of those move once
     more."""
-    placed = _placed(rows)
-    many = cut(_placed(rows if counted is None else counted).groupBy("entity", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("entity", "t"), "many")
-    usual = placed.withColumn("part", F.lit(0).cast("bigint")).withColumn("own", F.col("t") == F.col("home"))
+    laid = _laid(rows)
+    pieces = cut(_counted(laid if counted is None else _laid(counted)), "pieces")
+    placed, carried = _placed(laid), _carried(laid, pieces)
+    if carried is not None:
+        placed = placed.unionByName(carried)
+    day = F.when(F.col("blocks") == 1, F.col("p") * F.col("days")).otherwise(F.floor(F.col("p") / F.col("blocks")))
+    t = F.struct(F.floor(day / F.col("days")).alias("db"), F.when(F.col("blocks") == 1, 0).otherwise(F.col("p") - day * F.col("blocks")).cast("bigint").alias("cb"))
+    many = cut(pieces.groupBy("entity", t.alias("t")).agg(F.sum(F.col("n") + F.col("before") + F.col("after")).alias("n")).where(F.col("n") > CROWDED).select("entity", "t"), "many")
+    usual = placed.withColumn("part", F.lit(0).cast("bigint"))
     if not many.isEmpty():
         crowded = F.broadcast(many)  # at most a row for every CROWDED readings
         usual = usual.join(crowded, ["entity", "t"], "left_anti").select(*TILED).unionByName(_split(placed.join(crowded, ["entity", "t"], "left_semi")))

@@ -176,11 +176,11 @@ def readings(n, seed=0, step=60_000, start=1_600_000_000_000):
 SCHEMA = "entity string, seq bigint, ts bigint, value double, step_ms bigint, lo double, hi double, counter boolean, held boolean, kind string"
 
 
-def flagged(spark, frames):
+def flagged(spark, frames, step=60_000):
     data, seq, keys = [], 0, {}
     for name, t, v, counter, held in frames:
         for i, (a, b) in enumerate(zip(t, v)):
-            data.append((name, seq, None if a is None else int(a), None if b is None else float(b), 60_000, -100.0, 1e12 if counter else 1000.0, counter, held, "x"))
+            data.append((name, seq, None if a is None else int(a), None if b is None else float(b), step, -100.0, 1e12 if counter else 1000.0, counter, held, "x"))
             keys[seq] = (name, i)
             seq += 1
     got = implausible(spark.createDataFrame(data, SCHEMA)).collect()
@@ -271,6 +271,24 @@ def test_copies_and_crowded_sources(spark, monkeypatch):
     assert flagged(spark, [("a", t, v, False, False)]) == want
 
 
+@pytest.mark.parametrize("step", [60_000, 6_000])
+def test_gap_at_a_tile_border(spark, step):
+    """What stands next to a gap of 200 slots at a border is judged by the readings beyond it; a run goes on across."""
+    border = 7 * 1440 if step == 60_000 else -(-14_400 // 29) * 12  # of tiles of 7 days, of blocks of a 29th of a day
+    start = 18_519 // 7 * 7 * 86_400_000 if step == 60_000 else 18_519 // 32 * 32 * 86_400_000
+    for left, right in ((200, 0), (100, 100), (0, 200)):
+        t, v = readings(border + 2500, 7, step, start)
+        keep = np.r_[np.arange(border - left), np.arange(border + right, len(t))]
+        t, v = t[keep], v[keep]
+        edge = border - left
+        v[edge - 1] += 12  # the last before the gap
+        v[edge + 1] += 12  # the second after it
+        want = {("spike", "a", edge - 1), ("spike", "a", edge + 1)}
+        assert flagged(spark, [("a", t, v, False, False)], step) == want
+        v[edge - 4 : edge + 4] = v[edge - 4]
+        assert {f for f in flagged(spark, [("a", t, v, False, False)], step) if f[0] == "run"} == {("run", "a", i) for i in range(edge - 4, edge + 4)}
+
+
 def test_crowded_tiles_are_split(spark, monkeypatch):
     """No task gets more than about CROWDED readings, no reading is lost, and cases at the parts' borders are found."""
     from seriesloom.operators import spikes
