@@ -42,7 +42,7 @@ TURNS, MOST = 6, 1e12
 #: least MARGIN readings.
 CROWDED, SPAN_MS, MARGIN = 65_536, 1000, 256
 #: Readings that a margin should have.
-NEAR = 16
+NEAR = 10
 
 FLAGS = "entity string, seq bigint, ts bigint, value double, kind string, dev double, spread double, n bigint"
 
@@ -346,6 +346,7 @@ def implausible(rows: DataFrame) -> DataFrame:
     out_of = F.isnan(v) | (F.abs(v) == float("inf")) | F.coalesce(v < F.col("lo"), F.lit(False)) | F.coalesce(v > F.col("hi"), F.lit(False))
     live = rows.where(F.col("entity").isNotNull() & F.col("ts").isNotNull() & v.isNotNull() & (F.col("step_ms") > 0))
     live = cut(live.select("entity", "seq", "ts", "value", F.col("step_ms").cast("bigint").alias("step_ms"), F.coalesce("counter", F.lit(False)).alias("counter"), F.coalesce("held", F.lit(False)).alias("held"), (~out_of).alias("ok")), "rows")
+    live = live.where(F.col("entity").isNotNull() & F.col("ts").isNotNull())  # as the joins below say, so that shuffles are shared
     ranged = live.where(~F.col("ok")).select("entity", "seq", F.lit("range").alias("kind"))
     # Rows of one time are one reading, that of the first one to be in range, so that a tile doesn't grow with them.
     tested = live.where(~F.col("held")).drop("held")
