@@ -11,7 +11,9 @@ from ..api import Connection
 from ..functions.types import MAX_TS, ValueType as V
 from ..operators.catalog import required_files, streams_by_postings
 from ..operators.summary import from_summary, summarise
+from ..http import answer
 from ..session import scratch
+from ..streaming.ingest import batch_name, ingest
 from .keys_sql import cid
 from ..sources.tables import Series, TableSource, micros_within
 
@@ -196,6 +198,34 @@ def store_summary(spark: SparkSession, d: str) -> DataFrame:
     return names.join(per, "stream_id").drop("stream_id")
 
 
+def store_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Which streams there are and of what type, one that isn't included."""
+    conn = event_store(spark, d)
+    names = {k: f'ev{{kind="{k}"}}' for k in (*EVENT_TYPES, "none")}
+    there = {k: conn.check_stream_exists(n) for k, n in names.items()}
+    return spark.createDataFrame([(k, there[k], conn.get_stream_value_type(n).value if there[k] else None) for k, n in names.items()], "kind string, present boolean, value_type string")
+
+
+def store_http(spark: SparkSession, d: str) -> DataFrame:
+    """A reply of the HTTP endpoint."""
+    got = answer(spark, {"path": event_store(spark, d).store.path, "query": CLICK.replace("events", "ev").replace("event_type", "kind"), "start": START, "end": END})
+    return spark.createDataFrame(list(zip(got["timestamps"], got["values_f64"])), "ts bigint, value double")
+
+
+def store_streaming(spark: SparkSession, d: str) -> DataFrame:
+    """Events that came into a store as a stream, which is started twice and whose batch is sent again."""
+    conn = Connection(spark, scratch(spark, "store"))
+    stream_id, checkpoint = conn.create_stream("all", V.FLOAT64), scratch(spark, "stream")
+    rows = lambda df: df.select(F.lit(stream_id).alias("stream_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").alias("v_f64"))
+    folder = scratch(spark, "arrivals")  # a stream of files needs a folder
+    spark.read.parquet(f"{d}/events.parquet").select("ts", "value").write.parquet(folder)
+    events = spark.read.parquet(folder)
+    for _ in range(2):
+        ingest(conn.store, rows(spark.readStream.schema(events.schema).parquet(folder)), checkpoint, available_now=True).awaitTermination()
+    conn.store.append(rows(events), batch_name(checkpoint, 0))
+    return conn.prepare_query("all", 0, MAX_TS).plan.df.select("ts", "value")
+
+
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.csv import read_csv, write_csv
 
@@ -214,7 +244,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: planned(n) for n in PLANNED} | {"list_streams": list_streams, "header_stats": header_stats, **{f"summary_hint_{op}": summary_hint(op) for op in HINT_OPS}, "store_roundtrip": store_roundtrip, "store_hints": store_hints, "store_summary": store_summary, "csv_roundtrip": csv_roundtrip, "needed_files": needed_files, "postings": postings}
+    return {n: planned(n) for n in PLANNED} | {"list_streams": list_streams, "header_stats": header_stats, **{f"summary_hint_{op}": summary_hint(op) for op in HINT_OPS}, "store_roundtrip": store_roundtrip, "store_hints": store_hints, "store_summary": store_summary, "store_catalog": store_catalog, "store_http": store_http, "store_streaming": store_streaming, "csv_roundtrip": csv_roundtrip, "needed_files": needed_files, "postings": postings}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -231,6 +261,9 @@ def oracle_sql() -> dict[str, str]:
         **{f"summary_hint_{op}": f"SELECT round({op}({'*' if op == 'count' else 'value'}), 4)::DOUBLE AS value FROM {hinted}" for op in HINT_OPS},
         "store_roundtrip": vs("value", cond="event_type IN ('click', 'view')"),
         "store_hints": " UNION ALL ".join(f"SELECT '{op}' AS op, round({op}({'*' if op == 'count' else 'value'}), 4)::DOUBLE AS value FROM {hinted}" for op in HINT_OPS),
+        "store_catalog": "SELECT DISTINCT event_type AS kind, true AS present, 'Float64' AS value_type FROM events UNION ALL SELECT 'none', false, NULL",
+        "store_http": vs("value", f"{AT} BETWEEN {START} AND {END}"),
+        "store_streaming": vs("value", cond="true"),
         "store_summary": f"SELECT event_type AS kind, count(*) AS n, min({AT}) AS min_ts, max({AT}) AS max_ts, true AS rolled_over FROM events GROUP BY ALL",
         "csv_roundtrip": vs("user_id"),
         "needed_files": f"SELECT id, filename, start_ts, end_ts FROM id_to_file WHERE (end_ts IS NULL OR end_ts >= {NEEDED[0]}) AND start_ts <= {NEEDED[1]}",

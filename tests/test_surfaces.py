@@ -3,7 +3,6 @@
 import io
 import json
 import threading
-import uuid
 import urllib.error
 import urllib.request
 
@@ -16,7 +15,7 @@ from seriesloom.functions.types import ValueType as V
 from seriesloom.operators.catalog import required_files, streams_by_postings
 from seriesloom.sources import warehouse
 from seriesloom.sources.csv import CsvError, read_csv
-from seriesloom.streaming.ingest import ingest
+from seriesloom.streaming.ingest import batch_name, ingest
 
 
 @pytest.fixture
@@ -98,8 +97,7 @@ def test_streaming(conn, spark, tmp_path):
     assert [r["value"] for r in conn.prepare_query("m", 0, 9).df.collect()] == [2.0, 1.0, 1.0]
     assert conn.prepare_query("count(m)", 0, 9).next_scalar() == 3
     again = spark.read.parquet(str(tmp_path / "in"))
-    name = uuid.uuid5(uuid.NAMESPACE_URL, str(tmp_path / "cp")).hex
-    conn.store.append(again, f"{name}-0")  # the same micro-batch once more, as after a failure
+    conn.store.append(again, batch_name(str(tmp_path / "cp"), 0))  # the same micro-batch once more, as after a failure
     assert conn.prepare_query("count(m)", 0, 9).next_scalar() == 3 and conn.prepare_query("count(m)", 0, 9, hints=False).next_scalar() == 3
 
 
